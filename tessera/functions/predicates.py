@@ -12,6 +12,8 @@ import functools
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,10 +60,8 @@ def valid_pattern(frame: DataFrame, pattern: str) -> bool:
     try:
         jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except Exception as error:  # the JVM's syntax error
-        if "PatternSyntaxException" in str(error):
-            return False
-        raise
+    except (IllegalArgumentException, Py4JJavaError):  # the JVM's syntax error, which is an illegal argument
+        return False
 
 
 class Predicates:
