@@ -28,10 +28,10 @@ from tessera.llm.decontaminate import words_of
 from tessera.llm.labelled import labelled_sample
 
 #: Bounds of the training sample: rows a grade, and characters of a text in it.
-PER_CLASS, MAX_CHARS = 4000, 20_000
+PER_CLASS, MAX_CHARS = 2500, 20_000
 #: Features kept, fewest toxic rows with a feature, and lengths of the word beginnings in bytes.
 FEATURES, MIN_ROWS, BEGINNINGS = 4000, 4, (4, 5, 6, 7, 8)
-THRESHOLD = 0.4
+THRESHOLD = 0.35
 CACHE_SIZE = 1 << 18
 
 
@@ -67,13 +67,36 @@ class Model:
         return sigmoid(x - np.array(self.cuts))
 
 
-def select(rows: list[Counter], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Features by the size of their log odds ratio against its standard error, and these scores."""
-    a, b = Counter(), Counter()
-    for row, bad in zip(rows, toxic, strict=True):
-        (a if bad else b).update(row.keys())
-    na, nb = int(toxic.sum()), int((~toxic).sum())
-    names = sorted(f for f, n in a.items() if n >= MIN_ROWS)
+def counted(text: str, known) -> dict[bytes, int]:
+    """Counts of a text's features that are in ``known`` (all for None)."""
+    out: dict[bytes, int] = {}
+    for word, n in Counter(words_of(text)).items():
+        for f in features_of(word):
+            if known is None or f in known:
+                out[f] = out.get(f, 0) + n
+    return out
+
+
+def select(sample: list[tuple[str, int]]) -> tuple[list[bytes], np.ndarray]:
+    """Features by the size of their log odds ratio against its standard error, and these scores.
+
+    Only counts of rows are held: first of the toxic rows, then, for the features that enough of them have, of the others.
+    """
+    a: dict[bytes, int] = {}
+    na = nb = 0
+    for text, grade in sample:
+        if grade > 0:
+            na += 1
+            for f in counted(text, None):
+                a[f] = a.get(f, 0) + 1
+    a = {f: n for f, n in a.items() if n >= MIN_ROWS}
+    b = dict.fromkeys(a, 0)
+    for text, grade in sample:
+        if grade <= 0:
+            nb += 1
+            for f in counted(text, b):
+                b[f] += 1
+    names = sorted(a)
     if not names:
         return [], np.zeros(0)
     x, y = np.array([a[f] for f in names]) + 0.5, np.array([b[f] for f in names]) + 0.5
@@ -87,15 +110,19 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], steps: int = 400,
     """Weights and cuts by full-batch Adam; rows weigh so that grades have their shares among all labels."""
     if len({g for _, g in sample}) < 2:
         return Model({}, [0.0 if any(g for _, g in sample) else 30.0])
-    words = [words_of(t) for t, _ in sample]
-    rows = [Counter(f for w, n in Counter(ws).items() for f in features_of(w) for _ in range(n)) for ws in words]
     grade = np.array([g for _, g in sample])
     toxic = grade > 0
-    names, z = select(rows, toxic)
+    names, z = select(sample)
     column = {f: k for k, f in enumerate(names)}
-    at = [(r, column[f], c) for r, row in enumerate(rows) for f, c in row.items() if f in column]
-    r, c, v = (np.array(x) for x in zip(*at, strict=True)) if at else (np.zeros(0, int),) * 3
-    size = np.array([max(1, len(ws)) for ws in words], float)
+    rows = range(len(sample))
+    entries: list[list[int]] = [[], [], []]
+    for k, (text, _) in enumerate(sample):
+        for f, n in counted(text, column).items():
+            entries[0].append(k)
+            entries[1].append(column[f])
+            entries[2].append(n)
+    r, c, v = (np.array(e, np.int64) for e in entries)
+    size = np.array([max(1, len(words_of(t))) for t, _ in sample], float)
     x = v / np.sqrt(size)[r] if len(r) else np.zeros(0)
     share = np.array([counts.get(int(g), 1) for g in grade]) / np.array([np.sum(grade == g) for g in grade])
     if grade.max() == 1:  # only 0 and 1: grades by terciles of marker share
@@ -106,7 +133,6 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], steps: int = 400,
     top = int(grade.max())
     w, cuts = np.zeros(len(names)), np.linspace(1.0, 4.0, top)
     weight = share / share.sum()
-    above = (grade[:, None] >= np.arange(1, top + 1)).astype(float)
     params = np.concatenate([w, [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-2))])
     m, s = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
@@ -135,7 +161,6 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], steps: int = 400,
         params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-10)
     w = params[: len(names)]
     cuts = params[len(names)] + np.concatenate([[0.0], np.cumsum(np.exp(params[len(names) + 1 :]))])
-    del above
     return Model({f: float(q) for f, q in zip(names, w, strict=True) if abs(q) > 1e-4}, [float(t) for t in cuts])
 
 
