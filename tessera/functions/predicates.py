@@ -172,8 +172,8 @@ class Predicates:
         return functools.reduce(lambda x, y: x | y, [false_if_null(t) for t in tests], F.lit(False))
 
 
-#: A JSON string that is no key.
-JSON_TEXT = r'"((?:[^"\\]|\\.)*+)"(?!\s*:)'
+#: A key of a JSON object, or (group 1) another string.
+JSON_TEXT = r'"(?:[^"\\]|\\.)*+"\s*:|"((?:[^"\\]|\\.)*+)"'
 
 
 def in_json(text: Column, needle: str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.catalog import DST, EDGE_COLUMNS, ID, LABEL, LABELS, NODE_COLUMNS, SRC, EdgeType, NodeType, Schema, TypeIds, struct_of
 from tessera.errors import InvalidCommand
+from tessera.local import local_rows
 
 
 def q(name: str) -> Column:
@@ -75,10 +76,10 @@ class PropertyGraph:
     def __post_init__(self):
         for name, kind in self.schema.nodes.items():
             self.ids.of(name)
-            self.nodes.setdefault(name, self.spark.createDataFrame([], struct_of(kind)))
+            self.nodes.setdefault(name, local_rows(self.spark, [], struct_of(kind)))
         for name, kind in self.schema.edges.items():
             self.ids.of(name)
-            self.edges.setdefault(name, self.spark.createDataFrame([], struct_of(kind)))
+            self.edges.setdefault(name, local_rows(self.spark, [], struct_of(kind)))
 
     # -- which tables can hold what --
 
@@ -115,7 +116,7 @@ class PropertyGraph:
         columns = self.properties(tables) if columns is None else columns
         if not tables:
             kinds = ", ".join(f"`{c}` string" for c in columns)
-            return self.spark.createDataFrame([], f"{ID} long, {LABEL} string, {LABELS} array<string>" + (", " + kinds if kinds else ""))
+            return local_rows(self.spark, [], f"{ID} long, {LABEL} string, {LABELS} array<string>" + (", " + kinds if kinds else ""))
         return stacked([self.nodes[t] for t in tables], NODE_COLUMNS, columns)
 
     def edge_frame(self, tables: Iterable[str] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ class PropertyGraph:
         if not tables:
             kinds = ", ".join(f"`{c}` string" for c in columns)
             head = f"{ID} long, {SRC} long, {DST} long, {LABEL} string, {LABELS} array<string>"
-            return self.spark.createDataFrame([], head + (", " + kinds if kinds else ""))
+            return local_rows(self.spark, [], head + (", " + kinds if kinds else ""))
         return stacked([self.edges[t] for t in tables], EDGE_COLUMNS, columns)
 
     def all_nodes(self, label: str | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from tessera.catalog import DST, EDGE_COLUMNS, ID, LABEL, LABELS, NODE_COLUMNS,
 from tessera.errors import EdgeNotFound, InvalidCommand, NodeNotFound, SchemaError, TypeMismatch, UniqueViolation, ValidationError
 from tessera.functions.conversions import convert, convertible
 from tessera.graph import PropertyGraph, q
+from tessera.local import local_rows
 
 REPORTED = 100
 
@@ -160,7 +161,7 @@ def insert_nodes(graph: PropertyGraph, table: str, rows: list[dict[str, Any]], l
     ids = list(range(graph.next_id, graph.next_id + len(rows)))
     schema = struct_of(kind)
     data = [(i, table, [table, *extra], *[v.get(f.name) for f in kind.fields]) for i, v in zip(ids, values, strict=True)]
-    added = graph.spark.createDataFrame(data, schema)
+    added = local_rows(graph.spark, data, schema)
     check_unique(graph, table, added)
     graph.nodes[table] = graph.nodes[table].unionByName(added, allowMissingColumns=True)
     if extra:
@@ -183,7 +184,7 @@ def insert_edges(graph: PropertyGraph, table: str, rows: list[tuple[int, int, di
     data = [
         (i, s, t, table, [table, *extra], *[v.get(f.name) for f in kind.fields]) for i, (s, t, _), v in zip(ids, rows, values, strict=True)
     ]
-    added = graph.spark.createDataFrame(data, struct_of(kind))
+    added = local_rows(graph.spark, data, struct_of(kind))
     check_endpoints(graph, kind, added)
     graph.edges[table] = graph.edges[table].unionByName(added, allowMissingColumns=True)
     if extra:
@@ -238,7 +239,7 @@ def set_properties(graph: PropertyGraph, id_: int, properties: dict[str, Any], w
         values = {f.name: values.get(f.name) for f in kind.fields}
     tables = graph.edges if edges else graph.nodes
     schema = T.StructType([T.StructField(ID, T.LongType()), *[T.StructField(n, kind.columns[n].type.spark()) for n in values]])
-    change = graph.spark.createDataFrame([(id_, *values.values())], schema)
+    change = local_rows(graph.spark, [(id_, *values.values())], schema)
     if not edges:
         after = patched(tables[table].where(q(ID) == id_), change, list(values))
         check_unique(graph, table, after, instead_of=change)
@@ -341,7 +342,7 @@ def apply_schema(graph: PropertyGraph, new: Schema) -> None:
         for name, kind in kinds.items():
             graph.ids.of(name)
             if name not in tables:
-                tables[name] = graph.spark.createDataFrame([], struct_of(kind))
+                tables[name] = local_rows(graph.spark, [], struct_of(kind))
                 continue
             have = tables[name].columns
             columns = [q(c) for c in own]

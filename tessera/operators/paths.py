@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidCommand
 from tessera.graph import DST, ID, SRC, PropertyGraph, q
+from tessera.local import local_rows
 from tessera.operators.iteration import settled
 
 DIRECTIONS = {"outgoing": ("out",), "incoming": ("in",), "both": ("out", "in")}
@@ -41,9 +42,9 @@ def search(graph: PropertyGraph, sources: list[int], targets: list[int], max_dep
     """What the searches met (source, node, parent, edge, depth), until ``pairs_left`` (source, target) pairs with source < target in list order are met."""
     spark = graph.spark
     ways = steps(graph, direction, edge_types)
-    frontier = spark.createDataFrame([(s, s, None, None, 0) for s in dict.fromkeys(sources)], MET)
+    frontier = local_rows(spark, [(s, s, None, None, 0) for s in dict.fromkeys(sources)], MET)
     met = frontier
-    wanted = spark.createDataFrame([(s, t) for i, s in enumerate(sources) for t in targets[i + 1 if sources == targets else 0 :] if s != t] or [(None, None)], "source long, node long")
+    wanted = local_rows(spark, [(s, t) for i, s in enumerate(sources) for t in targets[i + 1 if sources == targets else 0 :] if s != t] or [(None, None)], "source long, node long")
     for depth in range(1, max_depth + 1):
         moved = frontier.select("source", q("node").alias("at")).join(ways, "at")
         # out before in, newest edge first: the order in which neighbours are met
@@ -64,7 +65,7 @@ def search(graph: PropertyGraph, sources: list[int], targets: list[int], max_dep
 def traced(met: DataFrame, pairs: list[tuple[int, int]], max_depth: int) -> DataFrame:
     """(source, target, pos, node, edge) of each pair's path, walked back from the target; edge leads to the node."""
     spark = met.sparkSession
-    at = spark.createDataFrame(pairs or [(None, None)], "source long, target long").withColumn("node", F.col("target"))
+    at = local_rows(spark, pairs or [(None, None)], "source long, target long").withColumn("node", F.col("target"))
     here = at.join(met, ["source", "node"]).select("source", "target", q("depth").alias("pos"), "node", "edge", "parent")
     out = here
     for _ in range(max_depth):
@@ -80,7 +81,7 @@ def shortest_path(
     """(pos, node_id, edge_id) along one shortest path, empty if there is none; edge_id leads to the node and is null at the start."""
     spark = graph.spark
     if start == end:
-        return spark.createDataFrame([(0, start, None)], "pos int, node_id long, edge_id long")
+        return local_rows(spark, [(0, start, None)], "pos int, node_id long, edge_id long")
     met = search(graph, [start], [end], max_depth, direction, edge_types, 1)
     path = traced(met, [(start, end)], max_depth)
     return path.select("pos", q("node").alias("node_id"), q("edge").alias("edge_id")).orderBy("pos")
@@ -92,10 +93,10 @@ def connecting_subgraph(
     """(node_id) and (edge_id) on one shortest path between each two of the nodes, and the nodes themselves."""
     nodes = list(dict.fromkeys(nodes))
     spark = graph.spark
-    own = spark.createDataFrame([(n,) for n in nodes], "node_id long")
+    own = local_rows(spark, [(n,) for n in nodes], "node_id long")
     pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]]
     if not pairs:
-        return own, spark.createDataFrame([], "edge_id long")
+        return own, local_rows(spark, [], "edge_id long")
     met = search(graph, nodes, nodes, max_depth, direction, edge_types, len(pairs))
     path = traced(met, pairs, max_depth)
     found = path.select(q("node").alias("node_id")).unionAll(own).distinct()

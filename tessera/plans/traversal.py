@@ -20,6 +20,7 @@ from tessera.functions import aggregates
 from tessera.functions.predicates import UNBOUND, Predicates, bound
 from tessera.functions.values import property_of
 from tessera.graph import DST, ID, LABEL, LABELS, SRC, PropertyGraph, q
+from tessera.local import local_rows
 from tessera.operators.cursor import AT, Cursor, Order
 from tessera.operators.iteration import settled
 
@@ -294,7 +295,7 @@ class Traversal:
         if cursor.nodes:  # no edges: no rows
             columns = [n for n in spec.get("properties") or [] if n]
             schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
-            return self.graph.spark.createDataFrame([], schema)
+            return local_rows(self.graph.spark, [], schema)
         return cursor.arranged().select(*self.picked(cursor, spec.get("properties")))
 
     def path(self, cursor: Cursor, spec: dict) -> DataFrame:

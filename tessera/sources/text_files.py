@@ -17,6 +17,7 @@ from tessera.catalog import DST, ID, LABEL, LABELS, SRC, Field
 from tessera.errors import InvalidCommand, NodeNotFound, TypeMismatch, ValidationError
 from tessera.functions.conversions import convert
 from tessera.graph import PropertyGraph, q
+from tessera.local import local_rows
 from tessera.operators import mutations
 from tessera.operators.iteration import settled
 
@@ -158,7 +159,7 @@ def add_nodes(graph: PropertyGraph, rows: DataFrame, columns: list[str], read) -
 
 def keys_of(graph: PropertyGraph, id_prop: str) -> DataFrame:
     """(key, id) of the graph's nodes with a text id property."""
-    out = graph.spark.createDataFrame([], f"key string, {ID} long")
+    out = local_rows(graph.spark, [], f"key string, {ID} long")
     for t, frame in graph.nodes.items():
         if id_prop in frame.columns and isinstance(frame.schema[id_prop].dataType, T.StringType):
             out = out.unionAll(frame.select(q(id_prop).alias("key"), q(ID)).where("key is not null"))
@@ -233,7 +234,7 @@ def json_frame(graph: PropertyGraph, table: str | None = None) -> DataFrame:
     """(pos, value): one JSON text for each node, then each edge."""
     if table is not None and table not in graph.nodes and table not in graph.edges:
         raise InvalidCommand(f"unknown type '{table}'")
-    out = graph.spark.createDataFrame([], "pos int, value string")
+    out = local_rows(graph.spark, [], "pos int, value string")
     for t in [table] if table else [*graph.nodes, *graph.edges]:
         edge = t in graph.edges and t not in graph.nodes
         rows = edge_rows(graph, t) if edge else graph.nodes[t]
