@@ -7,10 +7,11 @@ sum of log P(next | char) under the first less that under the second.  A token
 whose sum reaches the threshold is a span of kind ``random``.
 
 Training.  Both models are trained from labelled samples of a bounded share of
-the texts: random are the values of base secrets, ordinary the long tokens
-that overlap none and have no digit.  Pair counts (one row a pair of characters, at most 2 * 67 * 67)
-are all that reaches the driver; every pair has one count more than seen, so
-without samples both models are uniform.
+the texts: random are the values of base secrets, ordinary the shorter words,
+numbers and identifiers that overlap none.  Pair counts (one row a pair of
+characters, at most 2 * 67 * 67) are all that reaches the driver.  A pair's
+probability is smoothed towards its second character's, and that towards
+uniform, so without samples both models are uniform.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Fewest characters of a scored token.
 SHORTEST = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
+#: Ordinary words, numbers and identifiers for training.
+WORD = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{5,{SHORTEST - 1}}}+(?![A-Za-z0-9+/_=-])"
+#: Counts that a character's whole distribution weighs against a pair's own.
+PRIOR = 10.0
 #: Rows in the training sample, in expectation.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 4000
 #: Least log-likelihood ratio of a span, and least mean a character.
-LEAST_SUM, LEAST_MEAN = 10.0, 0.35
+LEAST_SUM, LEAST_MEAN = 10.0, 0.5
 #: Share of ordinary identifiers that may reach the threshold.
 FALSE_SHARE = 0.001
 
@@ -59,6 +64,18 @@ def pairs_of(values: Column) -> Column:
     )
 
 
+def log_probabilities(pairs: dict[str, int]) -> dict[str, float]:
+    """log P(b | a) of each pair ab of the alphabet."""
+    whole = {b: 1.0 for b in ALPHABET}
+    first = dict.fromkeys(ALPHABET, 0.0)
+    for p, n in pairs.items():
+        if p[0] in first and p[1] in first:
+            whole[p[1]] += n
+            first[p[0]] += n
+    total = sum(whole.values())
+    return {a + b: math.log((pairs.get(a + b, 0) + PRIOR * whole[b] / total) / (first[a] + PRIOR)) for a in ALPHABET for b in ALPHABET}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
     """{"scores": one number for each pair of characters, "least": the threshold of the sum}."""
     rows = picked(docs, id_col, text_col)
@@ -66,11 +83,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     share = min(1.0, train_rows / count) if count else 1.0
     # by the text's hash: the same rows whatever their order or partitions
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    spans = base_spans(some).withColumn("_token", located("random", TOKEN)).withColumn("_base", F.concat("_assign", "_access", "_hex"))
+    spans = base_spans(some).withColumn("_base", F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+    spans = spans.withColumn("_rest", masked("text", "_base", " "))
     secret = F.concat(
         F.transform(F.col("_assign"), lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("_access", lambda x: x["value"]), F.transform("_hex", lambda x: x["value"])
     )
-    plain = F.transform(F.filter(apart(F.col("_token"), F.col("_base")), lambda x: ~x["value"].rlike("[0-9]")), lambda x: x["value"])
+    plain = F.regexp_extract_all("_rest", F.lit(WORD), F.lit(0))
     labelled = spans.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), secret.alias("values")), F.struct(F.lit(0).alias("random"), plain.alias("values")))).alias("s")).where(
         F.size("s.values") > 0
     )
@@ -78,11 +96,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         labelled.select("s.random", F.explode(pairs_of(F.col("s.values"))).alias("pair")).where(F.length("pair") == 2).groupBy("random", "pair").count()
     )
     counts = {(r["random"], r["pair"]): r["count"] for r in seen.collect()}
-    logs = []
-    for a in ALPHABET:
-        total = [sum(counts.get((k, a + b), 0) + 1 for b in ALPHABET) for k in (0, 1)]
-        for b in ALPHABET:
-            logs.append(math.log((counts.get((1, a + b), 0) + 1) / total[1]) - math.log((counts.get((0, a + b), 0) + 1) / total[0]))
+    models = [log_probabilities({p: n for (k, p), n in counts.items() if k == kind}) for kind in (1, 0)]
+    logs = [models[0][a + b] - models[1][a + b] for a in ALPHABET for b in ALPHABET]
     model = {"scores": logs, "least": LEAST_SUM}
     # ordinary identifiers of the sample set the threshold where they score high
     sums = labelled.where("s.random = 0").select(F.explode("s.values").alias("value")).select(ratio(F.col("value"), model).alias("sum"))
