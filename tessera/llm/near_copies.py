@@ -1,0 +1,123 @@
+"""Near copies by two SimHashes: similarity of 0.8 or more over five-word shingles.
+
+A similarity of 0.8 moves a 64-bit SimHash of shingles by up to 11 bits, where
+balls no longer prune.  The SimHash of single words (repeats counted) moves by 5
+at most for nearly all such pairs, since an edit changes one word but five
+shingles.  So vantage-point trees find the pairs within 5 bits of the word
+fingerprint: it is cut into six blocks, one of which is then unchanged, so a
+tree for each block needs no guests (radius 0); where a block no longer splits,
+the node goes on with the full fingerprint and boundary guests.  A pair is
+linked if also the 256-bit SimHashes of its five-word shingles differ in at most
+``CHECK_BITS`` bits, about what a similarity of 0.8 gives; for unrelated texts
+half of the bits differ.  Equal texts are one row from the start.  A shard emits
+spanning stars, and components are contracted as for plain fingerprints.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import map_texts, materialize, picked
+from tessera.llm.simhash import SEED, SHARD_ROWS, TREE_SAMPLE, Forest, contract, fingerprint, grow, link, route
+
+RADIUS, BLOCKS, SHINGLE = 5, 6, 5
+#: Mean of the differing bits at similarity 0.8 is 39 of 256, the deviation 6.
+CHECK_BITS = 46
+VALUES = ["v0", "v1", "v2", "v3"]
+MASKS = [np.uint64(sum(1 << b for b in range(64) if b * BLOCKS // 64 == k)) for k in range(BLOCKS)]
+
+
+def wide(text: str) -> np.ndarray:
+    """256-bit SimHash of the shingles as four numbers; zeros without words."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(4, np.int64)
+    h, join = xxhash.xxh3_128_digest, b" ".join
+    grams = [join(g) for g in zip(*(w[i:] for i in range(SHINGLE)))] if len(w) >= SHINGLE else [join(w)]
+    total = np.zeros(256, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        part = b"".join([h(g, SEED) + h(g, SEED + 1) for g in grams[at : at + (1 << 14)]])
+        total += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(grams)).view(np.int64)
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, v0, v1, v2, v3) of each row of (doc_id, text)."""
+
+    def make():
+        def work(texts):
+            return [(int(np.uint64(fingerprint(t, 1)).astype(np.int64)), *map(int, wide(t))) for t in texts]
+
+        return work
+
+    return map_texts(docs, make, "fp long, v0 long, v1 long, v2 long, v3 long")
+
+
+def routed(nodes: DataFrame, trees: list[dict | None]) -> DataFrame:
+    """Rows of ``nodes`` (key, fp, values) for each shard they belong to or visit."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.asarray(batch.column(1)).view(np.uint64)
+            for tree, root in enumerate(trees):
+                out: list = []
+                route(root, fps, np.arange(len(fps)), np.ones(len(fps), bool), 1, out)
+                for rows, home, shard in out:
+                    part = batch.take(pa.array(rows))
+                    label = pa.array(np.full(len(rows), shard * BLOCKS + tree, np.int64))
+                    yield pa.RecordBatch.from_arrays([label, *part.columns, pa.array(home)], names=["shard", *batch.schema.names, "home"])
+
+    return nodes.mapInArrow(run, f"shard long, key long, fp long, {', '.join(f'{v} long' for v in VALUES)}, home boolean")
+
+
+def shard_edges(shards: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        values = np.stack([table.column(v).to_numpy().view(np.uint64) for v in VALUES], 1)
+        forest = Forest(len(fps))
+
+        def agree(i, j):
+            return np.bitwise_count(values[i] ^ values[j]).sum(1, dtype=np.int64) <= CHECK_BITS
+
+        link(fps, np.nonzero(home)[0], np.arange(len(fps)), RADIUS, forest, agree=agree)
+        root = forest.roots()
+        far = root != np.arange(len(fps))
+        return pa.table({"a": keys[far], "b": keys[root[far]]})
+
+    return shards.groupBy("shard").applyInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS, sample: int = TREE_SAMPLE) -> DataFrame:
+    """(doc_id, component_id) of each row; component_id is the least id of its group of near copies.
+
+    All rows without words are one group.  Repeated rows share a group; a null id
+    names a group only if it has no other.  An empty table gives an empty result.
+    """
+    rows = prints(picked(docs, id_col, text_col)).withColumn("key", F.xxhash64("fp", *VALUES))
+    rows = materialize(rows, "prints")
+    nodes = materialize(rows.groupBy("key", "fp", *VALUES).agg(F.min("doc_id").alias("least_id")), "nodes")
+    count = nodes.count()
+    some = np.array([r[0] for r in nodes.select("fp").orderBy("key").limit(sample).collect()], np.int64).view(np.uint64)
+    enough = max(1, int(shard_rows * len(some) / max(1, count)))
+    rng = np.random.default_rng(SEED)
+    depth = max(0, int(np.ceil(np.log2(max(1, count) / shard_rows)))) + 2
+    trees = [grow(some, mask, 0, RADIUS, depth, rng, enough) for mask in MASKS] if count > shard_rows else [None]
+    edges = shard_edges(routed(nodes.select("key", "fp", *VALUES), trees))
+    roots = materialize(contract(edges), "roots")
+    least = roots.join(nodes, roots["node"] == nodes["key"]).groupBy("root").agg(F.min("least_id").alias("least_of_root"))
+    named = roots.join(least, "root").select(F.col("node").alias("key"), "least_of_root")
+    found = nodes.join(named, "key", "left").select("key", F.coalesce("least_of_root", "least_id").alias("component_id"))
+    return rows.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without all but the first row (least id) of each group; its columns as they were."""
+    found = near_copies(docs, id_col, text_col, **how)
+    gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["_gone"], "left_anti")

@@ -71,9 +71,9 @@ HIGH = np.uint64(0xFFFFFFFF00000000)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def grow(sample: np.ndarray, mask: np.uint64, radius: int, full_radius: int, depth: int, rng) -> dict | None:
-    """A node of the tree, or None for a leaf.  ``radius`` holds for distances under ``mask``."""
-    if depth == 0 or len(sample) < 2:
+def grow(sample: np.ndarray, mask: np.uint64, radius: int, full_radius: int, depth: int, rng, enough: int = 1) -> dict | None:
+    """A node of the tree, or None for a leaf (``depth`` levels down, or at ``enough`` of the sample).  ``radius`` holds for distances under ``mask``."""
+    if depth == 0 or len(sample) <= enough:
         return None
     best = None
     for point in sample[rng.integers(0, len(sample), 5)]:
@@ -88,15 +88,15 @@ def grow(sample: np.ndarray, mask: np.uint64, radius: int, full_radius: int, dep
     if best is None:
         if mask == FULL:
             return None
-        return grow(sample, FULL, full_radius, full_radius, depth, rng)
+        return grow(sample, FULL, full_radius, full_radius, depth, rng, enough)
     _, point, mu, d = best
     return {
         "point": point,
         "mask": mask,
         "mu": mu,
         "radius": radius,
-        "left": grow(sample[d <= mu], mask, radius, full_radius, depth - 1, rng),
-        "right": grow(sample[d > mu], mask, radius, full_radius, depth - 1, rng),
+        "left": grow(sample[d <= mu], mask, radius, full_radius, depth - 1, rng, enough),
+        "right": grow(sample[d > mu], mask, radius, full_radius, depth - 1, rng, enough),
     }
 
 
@@ -165,8 +165,8 @@ class Forest:
             np.minimum.at(self.parent, high[live], low[live])
 
 
-def link(values: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, leaf: int = 2048) -> None:
-    """Joins in ``forest`` all pairs within ``radius`` of positions ``a`` x ``b``; a vantage-point tree down to leaves."""
+def link(values: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, leaf: int = 2048, agree=None) -> None:
+    """Joins in ``forest`` all pairs within ``radius`` of positions ``a`` x ``b`` (that also ``agree``); a vantage-point tree down to leaves."""
     work = [(a, b)]
     while work:
         a, b = work.pop()
@@ -187,7 +187,7 @@ def link(values: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest:
             rows = a[at : at + step]
             i, j = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[b][None, :]) <= radius)
             i, j = rows[i], b[j]
-            apart = i != j
+            apart = i != j if agree is None else (i != j) & agree(i, j)
             forest.join(i[apart], j[apart])
 
 
