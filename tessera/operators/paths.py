@@ -52,11 +52,13 @@ def search(graph: PropertyGraph, sources: list[int], targets: list[int], max_dep
         level = moved.groupBy("source", q("to").alias("node")).agg(first.alias("best"))
         level = level.join(met.select("source", "node"), ["source", "node"], "left_anti")
         level = settled(level.select("source", "node", F.col("best.at").alias("parent"), F.col("best.edge").alias("edge"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
+        hits = F.broadcast(wanted.withColumn("hit", F.lit(1)))  # one row a pair asked for
+        size, found = level.join(hits, ["source", "node"], "left").agg(F.count("*"), F.count("hit")).first()
+        if not size:
             break
         met = met.unionAll(level)
         frontier = level
-        pairs_left -= level.join(F.broadcast(wanted), ["source", "node"], "left_semi").count()  # one row a pair asked for
+        pairs_left -= found
         if pairs_left <= 0:
             break
     return met
