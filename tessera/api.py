@@ -352,6 +352,12 @@ class Connection:
         self.keep()
         return store.vacuum(self.graph.spark, self.path)
 
+    @staticmethod
+    def vacuum_file(spark: SparkSession, path: str) -> list[str]:
+        """The same for a graph that is not open."""
+        with Connection.open(spark, path) as c:
+            return c.vacuum()
+
     def verify(self) -> list[str]:
         """What is wrong: edges at nodes that are not there, repeated ids."""
         bad = mutations.dangling(self.graph).limit(mutations.REPORTED).collect()

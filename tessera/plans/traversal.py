@@ -33,7 +33,7 @@ MOVES = {
     "BothNodes": (False, (DST, SRC)),
 }
 ACTIONS = {*MOVES, "Filter", "HasLabel", "Dedup", "Limit", "Skip", "OrderBy", "Repeat"}
-COLLECTORS = {"Nodes", "Edges", "Count", "Exists", "Path", "Aggregate", "GroupBy", "FullPath"}
+COLLECTORS = {"Nodes", "Edges", "Count", "Exists", "Path", "Aggregate", "GroupBy"}
 #: Steps that look at one item at a time, so that an item met before leads to nothing new.
 POINTWISE = {*MOVES, "Filter", "HasLabel", "Dedup"}
 #: Levels of Repeat that stay in one lazy plan; deeper ones are settled level by level.
@@ -202,13 +202,11 @@ class Traversal:
             seen = first_met(seen)
         if depth > LAZY_LEVELS:
             seen = settled(seen)
-        frontier = replace(cursor, frame=seen.select(q(ID), q("__trace").alias("__o0")), full=False, order=(Order("__o0", True),)) if pointwise else cursor
+        frontier = replace(cursor, frame=seen.select(ID), full=False, order=(), bag=False) if pointwise else cursor
         for level in range(1, depth + 1):
-            start = replace(frontier, order=()) if not cursor.tracked else frontier
-            if pointwise:
-                start = replace(start, frame=start.frame.select(ID), order=(), bag=False)
-                if cursor.tracked:
-                    start = replace(start, frame=start.frame.withColumn("__o0", q(ID)), order=(Order("__o0", True),))
+            start = frontier
+            if pointwise and cursor.tracked:
+                start = replace(start, frame=start.frame.withColumn("__o0", q(ID)), order=(Order("__o0", True),))
             moved = start
             for s in inner:
                 moved = self.step(moved, s)
@@ -248,7 +246,7 @@ class Traversal:
             return Result(kind, self.nodes(cursor, spec))
         if kind == "Edges":
             return Result(kind, self.edges(cursor, spec))
-        if kind in ("Path", "FullPath"):
+        if kind == "Path":
             return Result(kind, self.path(cursor, spec))
         cursor = cursor.filled() if cursor.nodes or spec.get("key", {}).get("source") == "Edge" else cursor.to_nodes((DST,), None, kind).filled()
         find = lambda path: property_of(cursor.frame, path, cursor.is_json)

@@ -137,6 +137,7 @@ def test_stored(tmp_path, spark):
         assert len(c.vacuum()) >= 3
         assert c.info()["nodes"]["User"] == 1
         assert c.insert_node("User", {}) not in (u, p)
+    assert len(Connection.vacuum_file(spark, at)) >= 1
     with pytest.raises(GraphError):
         Connection.open(spark, f"file://{tmp_path}/nothing")
 
