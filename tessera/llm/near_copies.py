@@ -1,4 +1,7 @@
-"""Near copies by two SimHashes: similarity of 0.8 or more over five-word shingles.
+"""Near copies as two SimHashes estimate them: similarity of about 0.8 over five-word shingles.
+
+``near_copies`` neither computes a similarity nor finds all pairs; ``keep_one``, which
+the pipeline uses, takes the verified groups of ``similar.py`` instead.
 
 A similarity of 0.8 moves a 64-bit SimHash of shingles by up to 11 bits, where
 balls no longer prune.  The SimHash of single words (repeats counted) moves by 5
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts, materialize, picked
+from tessera.llm.similar import similar_copies
 from tessera.llm.simhash import SEED, SHARD_ROWS, TREE_SAMPLE, Forest, contract, fingerprint, grow, link, route
 
 RADIUS, BLOCKS, SHINGLE = 5, 6, 5
@@ -116,8 +120,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without all but the first row (least id) of each group; its columns as they were."""
-    found = near_copies(docs, id_col, text_col, **how)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but the first row (least id) of each group of near copies, verified on the texts; its columns as they were."""
+    found = similar_copies(docs, id_col, text_col)
     gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["_gone"], "left_anti")
