@@ -1,5 +1,7 @@
 """The pipeline's near copies against brute force over five-word shingle sets."""
 
+import random
+
 from tessera.llm import near_copies
 
 
@@ -51,6 +53,24 @@ def test_alike_texts_below_the_bound_stay(spark, small):
     assert kept(spark, rows) == kept_by_brute_force(rows)
 
 
+def test_block_edits(spark, small):
+    """Cut, appended and replaced passages, and scattered words, on both sides of the bound."""
+    rng = random.Random(3)
+    rows = []
+    for k, t in enumerate(base(small)[:60]):
+        w = t.split()
+        n = len(w)
+        new = [rng.choice(["stone", "river", "seven", "walks", "under", "light"]) + str(rng.randrange(99)) for _ in range(n)]
+        mid = n // 2
+        edits = [
+            w[: n - n * 15 // 100], w + new[: n * 15 // 100], w + new[: n // 10], w[:mid] + new[: n * 8 // 100] + w[mid + n * 8 // 100 :], w[: n * 3 // 4], [*w[:9], "changed", *w[10:]],
+        ]
+        rows.append((1000 + k, t))
+        rows.append((2000 + k, " ".join(edits[k % len(edits)])))
+    rows += small[1]
+    assert kept(spark, rows) == kept_by_brute_force(rows)
+
+
 def test_edges_of_the_table(spark):
     rows = [(5, "a b c"), (4, "A  b\nc"), (3, "a b d"), (9, None), (8, ""), (7, " \n"), (None, "q w e r t y"), (None, "nothing else is alike"), (6, "Q w e r t y")]
     rows += [(11, f"hot id text number {k} of many") for k in range(5)]
