@@ -213,6 +213,15 @@ REACHED = """WITH RECURSIVE r(conv_id, turn, d) AS (
 ) SELECT DISTINCT conv_id, turn FROM r"""
 traversal("repeat_next", REACHED.format(depth=3), all_of("Turn"), [FIRST_TURNS, step("Repeat", repeat_steps=NEXT, max_depth=3)], props("conv_id", "turn"))
 traversal("repeat_deep", REACHED.format(depth=8), all_of("Turn"), [FIRST_TURNS, step("Repeat", repeat_steps=NEXT, max_depth=8)], props("conv_id", "turn"))
+# the same from every conversation
+ALL_FIRST_TURNS = step("Filter", filter=where("turn", "Equals", 0))
+ALL_REACHED = """WITH RECURSIVE r(conv_id, turn, d) AS (
+  SELECT conv_id, turn, 0 FROM conversations WHERE turn = 0
+  UNION SELECT c.conv_id, c.turn, r.d + 1 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1 WHERE r.d < {depth}
+) SELECT DISTINCT conv_id, turn FROM r"""
+for _name, _depth in (("repeat_next_all", 3), ("repeat_deep_all", 8)):
+    traversal(_name, ALL_REACHED.format(depth=_depth), all_of("Turn"), [ALL_FIRST_TURNS, step("Repeat", repeat_steps=NEXT, max_depth=_depth)], props("conv_id", "turn"))
+
 traversal("repeat_both", "SELECT n_nationkey, NULL::INT AS r_regionkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT NULL, 2", all_of("Nation"),
           [step("Filter", filter=where("n_regionkey", "Equals", 2)), step("Repeat", max_depth=2, repeat_steps=[step("BothEdges", "IN_REGION"), step("BothNodes")])], props("n_nationkey", "r_regionkey"))
 
