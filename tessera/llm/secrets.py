@@ -1,28 +1,39 @@
 """Secret scans by character Markov models, in SQL functions alone.
 
 Base patterns (assignments, access keys, long hex) give their spans.  Beyond
-them every long token of key-like characters is scored by two first-order
-character models, one of random strings and one of ordinary identifiers: the
-sum of log P(next | char) under the first less that under the second.  A token
-whose sum reaches the threshold is a span of kind ``random``.
+them every token of eight or more key-like characters is scored by two
+first-order character models, one of random strings and one of ordinary
+identifiers: the sum of log P(next | char) under the first less that under the
+second.  A token whose sum reaches its length's threshold is a span of kind
+``random``; nothing but the ratio decides.
 
 Training.  Both models are trained from labelled samples of a bounded share of
-the texts: random are the values of base secrets, ordinary the shorter words,
-numbers and identifiers that overlap none.  Pair counts (one row a pair of
-characters, at most 2 * 67 * 67) are all that reaches the driver.  A pair's
-probability is smoothed towards its second character's, and that towards
-uniform, so without samples both models are uniform.
+the texts (half at most): random are the values of base secrets, ordinary the
+numbers and the recurring words and identifiers that overlap none.  Pair counts (one row a pair of characters, at
+most 2 * 67 * 67) are all that reaches the driver.  A pair's probability is
+smoothed towards its second character's, and both models are mixed with the
+uniform one: random strings may come from alphabets that the samples lack, and a
+pair that ordinary words never had is no proof.  Without samples no token scores.
+
+Thresholds.  The scores of the ordinary tokens of all other texts are counted by class
+of length; a class's threshold is the least whole number that at most
+``FALSE_SHARE`` of them reach.  Unlabelled random strings are among them, and long
+tokens may be little else, so a threshold goes no higher than what ``RANDOM_SHARE``
+of the base secrets reach at that length; nor lower than ``LEAST_SUM`` (odds of a
+million).
+What remains out of reach: tokens under eight characters, random strings that
+are short or look like words.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import picked
-from tessera.llm.native import apart, located, masked, ordered, quoted, written
+from tessera.llm.native import apart, located, masked, ordered, quoted, replaced, written
 
 KINDS = ["assign", "access", "hex"]
 
@@ -32,119 +43,170 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"  # 16 characters or more
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Fewest characters of a scored token.
-SHORTEST = 20
+#: Fewest characters of a scored token, as of an assigned value.
+SHORTEST = 8
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 #: Ordinary words, numbers and identifiers for training.
-WORD = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{5,{SHORTEST - 1}}}+(?![A-Za-z0-9+/_=-])"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{5,}+"
+NUMBER = r"^[0-9+/_=-]+$"
 #: Counts that a character's whole distribution weighs against a pair's own.
 PRIOR = 10.0
-#: Rows in the training sample, in expectation.
+#: Share of the uniform model in the models of random strings and of ordinary identifiers.
+UNIFORM = {1: 0.5, 0: 0.05}
+#: Distinct texts in the training sample, in expectation.
 TRAIN_ROWS = 4000
-#: Least log-likelihood ratio of a span, and least mean a character.
-LEAST_SUM, LEAST_MEAN = 10.0, 0.5
-#: Share of ordinary identifiers that may reach the threshold.
-FALSE_SHARE = 0.001
+#: Least log-likelihood ratio of a span.
+LEAST_SUM = 14
+#: Share of the ordinary tokens of a class of length that may reach the threshold, and the least lengths of the classes.
+FALSE_SHARE, LENGTHS = 0.0001, (8, 12, 16, 20, 24, 32, 48)
+#: Share of base secrets that a threshold must let through.
+RANDOM_SHARE = 0.9
+#: Ratios are held in this many parts of a nat.
+PARTS = 10_000
+NONE = len(ALPHABET)
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Adds _assign, _access, _hex: spans of the base kinds, failing matches dropped."""
+    """Adds _assign, _access, _hex (spans of the base kinds, failing matches dropped) and _base, all of them by start."""
     value = f"char_length(regexp_extract(x.value, {quoted(ASSIGN)}, 2)) >= 8"
     return (
         rows.withColumn("_assign", located("assign", ASSIGN)).withColumn("_access", located("access", ACCESS, guard="AKIA")).withColumn("_hex", located("hex", HEX))
         .withColumn("_assign", F.expr(f"filter(_assign, x -> {value})"))
-    )
-
-
-def pairs_of(values: Column) -> Column:
-    """Pairs (a, b) of neighbouring characters of an array of tokens, in one array."""
-    chars = F.transform(values, lambda v: F.split(v, ""))
-    return F.flatten(
-        F.transform(chars, lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
-    )
+        .withColumn("_base", ordered(F.concat("_assign", "_access", "_hex"), KINDS))
+    )
 
 
-def log_probabilities(pairs: dict[str, int]) -> dict[str, float]:
+def log_probabilities(pairs: dict[str, int], uniform: float) -> dict[str, float]:
     """log P(b | a) of each pair ab of the alphabet."""
     whole = {b: 1.0 for b in ALPHABET}
     first = dict.fromkeys(ALPHABET, 0.0)
     for p, n in pairs.items():
-        if p[0] in first and p[1] in first:
-            whole[p[1]] += n
-            first[p[0]] += n
+        whole[p[1]] += n
+        first[p[0]] += n
     total = sum(whole.values())
-    return {a + b: math.log((pairs.get(a + b, 0) + PRIOR * whole[b] / total) / (first[a] + PRIOR)) for a in ALPHABET for b in ALPHABET}
+
+    def chance(a: str, b: str) -> float:
+        own = (pairs.get(a + b, 0) + PRIOR * whole[b] / total) / (first[a] + PRIOR)
+        return math.log((1 - uniform) * own + uniform / len(ALPHABET))
+
+    return {a + b: chance(a, b) for a in ALPHABET for b in ALPHABET}
+
+
+def class_of(length: str) -> str:
+    """SQL: the class of a token's length."""
+    return "case " + " ".join(f"when {length} >= {n} then {n}" for n in reversed(LENGTHS)) + " end"
+
+
+def labelled(spans: DataFrame, pattern: str) -> DataFrame:
+    """(random, value): the values of base secrets (1) and the tokens of a pattern that overlap none (0)."""
+    secret = F.concat(
+        F.transform(F.col("_assign"), lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("_access", lambda x: x["value"]), F.transform("_hex", lambda x: x["value"])
+    )
+    plain = F.regexp_extract_all(masked("text", "_base", " "), F.lit(pattern), F.lit(0))
+    samples = F.array(F.struct(F.lit(1).alias("random"), secret.alias("values")), F.struct(F.lit(0).alias("random"), plain.alias("values")))
+    return spans.select(F.explode(samples).alias("s")).select("s.random", F.explode("s.values").alias("value"))
+
+
+def fitted(rows: DataFrame) -> list[int]:
+    """The ratio of each pair of characters in parts of a nat, from the sampled texts; copies count once."""
+    found = labelled(base_spans(rows.select("text").dropDuplicates(["text"])), WORD).groupBy("random", "value").agg(F.count("*").alias("n"))
+    # ordinary words recur; a token that occurs once may be a random string, unless it is a number
+    words = found.where((F.col("random") == 1) | (F.col("n") > 1) | F.col("value").rlike(NUMBER))
+    pairs = words.select("random", "n", F.explode(F.expr("transform(sequence(1, char_length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
+    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    for r in pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
+        if r["pair"][0] in ALPHABET and r["pair"][1] in ALPHABET:
+            counts[r["random"]][r["pair"]] = r["n"]
+    if not counts[0] or not counts[1]:
+        return []
+    random, ordinary = (log_probabilities(counts[kind], UNIFORM[kind]) for kind in (1, 0))
+    return [round(PARTS * (random[a + b] - ordinary[a + b])) for a in ALPHABET for b in ALPHABET]
+
+
+def lowest(counts: dict[int, int], share: float) -> float:
+    """The least score that more than a share of the counted ones reach no further than."""
+    below, total = 0, sum(counts.values())
+    for x in sorted(counts):
+        below += counts[x]
+        if below > share * total:
+            return x
+    return math.inf
+
+
+def thresholds(rows: DataFrame, ratios: list[int]) -> dict[int, int]:
+    """The threshold of each class of length, from the tokens of all rows given."""
+    least = dict.fromkeys(LENGTHS, LEAST_SUM)
+    if not ratios:
+        return least
+    sums = F.expr(f"floor({ratio('value', ratios)} / {PARTS})")
+    size = F.char_length("value")
+    # of ordinary tokens the sum, of random strings tenths of a nat a character
+    score = F.when(F.col("random") == 0, F.greatest(sums, F.lit(LEAST_SUM - 1))).otherwise(F.floor(sums * 10 / size))
+    kind = F.when(F.col("random") == 0, F.expr(class_of("char_length(value)")))
+    found = labelled(base_spans(rows), TOKEN).select("random", kind.alias("class"), score.alias("score")).groupBy("random", "class", "score").count().collect()
+    rate = lowest({r["score"]: r["count"] for r in found if r["random"]}, 1 - RANDOM_SHARE)
+    for n in LENGTHS:
+        mine = {r["score"]: r["count"] for r in found if not r["random"] and r["class"] == n}
+        allowed, above = FALSE_SHARE * sum(mine.values()), 0
+        for x in sorted(mine, reverse=True):
+            above += mine[x]
+            if above > allowed:
+                least[n] = max(LEAST_SUM, math.floor(min(x + 1, n * rate / 10)))
+                break
+    return least
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """{"scores": one number for each pair of characters, "least": the threshold of the sum}."""
+    """{"ratios": one number for each pair of characters (none without samples), "least": the thresholds}."""
     rows = picked(docs, id_col, text_col)
     count = rows.count()
-    share = min(1.0, train_rows / count) if count else 1.0
+    share = min(0.5, train_rows / count) if count else 0.5
     # by the text's hash: the same rows whatever their order or partitions
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    spans = base_spans(some).withColumn("_base", F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-    spans = spans.withColumn("_rest", masked("text", "_base", " "))
-    secret = F.concat(
-        F.transform(F.col("_assign"), lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("_access", lambda x: x["value"]), F.transform("_hex", lambda x: x["value"])
-    )
-    plain = F.regexp_extract_all("_rest", F.lit(WORD), F.lit(0))
-    labelled = spans.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), secret.alias("values")), F.struct(F.lit(0).alias("random"), plain.alias("values")))).alias("s")).where(
-        F.size("s.values") > 0
-    )
-    seen = (
-        labelled.select("s.random", F.explode(pairs_of(F.col("s.values"))).alias("pair")).where(F.length("pair") == 2).groupBy("random", "pair").count()
-    )
-    counts = {(r["random"], r["pair"]): r["count"] for r in seen.collect()}
-    models = [log_probabilities({p: n for (k, p), n in counts.items() if k == kind}) for kind in (1, 0)]
-    logs = [models[0][a + b] - models[1][a + b] for a in ALPHABET for b in ALPHABET]
-    model = {"scores": logs, "least": LEAST_SUM}
-    # ordinary identifiers of the sample set the threshold where they score high
-    sums = labelled.where("s.random = 0").select(F.explode("s.values").alias("value")).select(ratio(F.col("value"), model).alias("sum"))
-    high = sums.agg(F.percentile_approx("sum", F.lit(1 - FALSE_SHARE), F.lit(10_000)).alias("high")).first()["high"]
-    model["least"] = max(LEAST_SUM, high or 0.0)
-    return model
-
-
-def ratio(value: Column, model: dict) -> Column:
-    """Log-likelihood ratio of a token; linear in its length."""
-    size = len(ALPHABET)
-    classes = F.lit(",".join(str(ALPHABET.find(chr(c))) for c in range(128)))
-    classes = F.split(classes, ",").cast("array<int>")
-    scores = F.split(F.lit(",".join(f"{x:.6f}" for x in model["scores"])), ",").cast("array<double>")
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))
+    ratios = fitted(rows.where(part))
+    return {"ratios": ratios, "least": thresholds(rows.where(~part), ratios)}
+
 
-    def step(s, c):
-        code = F.element_at(classes, F.least(F.ascii(c), F.lit(127)) + 1)
-        known = (s["last"] >= 0) & (code >= 0)
-        return F.struct(code.alias("last"), (s["sum"] + F.when(known, F.element_at(scores, s["last"] * size + code + 1)).otherwise(0.0)).alias("sum"))
+def ratio(value: str, ratios: list[int]) -> str:
+    """SQL: the log-likelihood ratio of a token in parts of a nat; linear in its length.
 
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-    return F.aggregate(F.split(value, ""), start, step, lambda s: s["sum"])
+    The fold holds the sum and, in its lowest seven bits, the last character's number.
+    """
+    size = len(ALPHABET)
+    numbers = ",".join(str(ALPHABET.index(chr(c)) if chr(c) in ALPHABET else NONE) for c in range(128))
+    scores = ",".join(str(128 * ratios[a * size + b]) if a < size and b < size else "0" for a in range(size + 1) for b in range(size + 1))
+    codes = f"transform(split({value}, ''), c -> cast(split('{numbers}', ',') as array<bigint>)[least(ascii(c), 127)])"
+    step = f"held - (held & 127) + cast(split('{scores}', ',') as array<bigint>)[cast((held & 127) * {size + 1} + code as int)] + code"
+    return f"shiftright(aggregate({codes}, {NONE}L, (held, code) -> {step}), 7)"
 
 
 def with_spans(rows: DataFrame, model: dict) -> DataFrame:
     """Adds _assign, _access, _hex, _random, and _base and _all by start, then kind, to rows with ``text``."""
-
-    def random(x):
-        value = x["value"]
-        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        return mixed & (ratio(value, model) >= F.greatest(F.lit(model["least"]), F.length(value) * LEAST_MEAN))
-
-    rows = base_spans(rows).withColumn("_token", located("random", TOKEN)).withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    rows = rows.withColumn("_random", F.filter(apart(F.col("_token"), F.col("_base")), random))
-    return rows.withColumn("_all", ordered(F.concat("_base", "_random"), [*KINDS, "random"])).withColumn("_base", ordered(F.col("_base"), KINDS))
+    rows = base_spans(rows)
+    if not model["ratios"]:
+        return rows.withColumn("_random", F.expr("slice(_hex, 1, 0)")).withColumn("_all", F.col("_base"))
+    least = "case " + " ".join(f"when char_length(value) >= {n} then {PARTS * model['least'][n]}" for n in reversed(LENGTHS)) + " end"
+    high = f"{ratio('value', model['ratios'])} >= {least}"
+    # places are worked out only where a token scores high
+    some = F.expr(f"exists(regexp_extract_all(text, {quoted(TOKEN)}, 0), value -> {high})")
+    rows = rows.withColumn("_token", F.when(some, located("random", TOKEN)).otherwise(F.expr("slice(_hex, 1, 0)")))
+    rows = rows.withColumn("_token", F.expr(f"filter(_token, x -> transform(array(x.value), value -> {high})[0])"))
+    rows = rows.withColumn("_random", F.expr(apart("_token", "_base")))
+    return rows.withColumn("_all", ordered(F.concat("_assign", "_access", "_hex", "_random"), [*KINDS, "random"]))
 
 
 def secret_scan(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: doc_id, counts of the base kinds, n_random, base_sha256 and spans (kind:start:end by start, then kind).
+    """One row for each row: doc_id, counts of the base kinds, n_random, has_secret, base_sha256 and spans (kind:start:end by start, then kind).
 
     Null and empty texts have no spans; the hash is then that of the empty string.  Repeated rows and null ids stay as they are.
+    An empty table gives an empty result.
     """
     model = model or train(docs, id_col, text_col)
     return with_spans(picked(docs, id_col, text_col), model).select(
         "doc_id",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.size("_random").cast("long").alias("n_random"),
+        (F.size("_all") > 0).alias("has_secret"),
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
         written(F.col("_all")).alias("spans"),
     )
@@ -153,22 +215,8 @@ def secret_scan(docs: DataFrame, model: dict | None = None, id_col: str = "doc_i
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", model: dict | None = None) -> DataFrame:
     """``docs`` with every secret replaced by [secret]; its columns as they were.
 
-    ``length_col``, if there is one, becomes the new length where the text changed.  A null text stays null.
+    ``length_col``, if there is one, becomes the new length where the text changed.  A null text stays null,
+    an empty one empty; repeated rows and null ids stay as they are; an empty table gives an empty result.
     """
-    names = docs.columns
     model = model or train(docs, id_col, text_col)
-    at = names.index(text_col)
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    rows = with_spans(plain.withColumn("text", F.coalesce(F.col(f"c{at}").cast("string"), F.lit(""))), model)
-    changed = F.size("_all") > 0
-    rows = rows.withColumn("_masked", masked("text", "_all"))
-    out = []
-    for k, name in enumerate(names):
-        if k == at:
-            value = F.when(changed, F.col("_masked")).otherwise(F.col(f"c{k}"))
-        elif name == length_col:
-            value = F.when(changed, F.length("_masked").cast(docs.schema[k].dataType)).otherwise(F.col(f"c{k}"))
-        else:
-            value = F.col(f"c{k}")
-        out.append(value.alias(name))
-    return rows.select(*out)
+    return replaced(docs, lambda rows: with_spans(rows, model), "[secret]", text_col, length_col)
