@@ -88,12 +88,12 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Adds _found by start: candidate spans (kind: their generator) with their features f and whether they overlap a base span."""
     context = (
         f"named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'value', x.value, 'd', char_length(regexp_replace(x.value, '[^0-9]', '')), "
-        f"'before', {cut('pieces', f'greatest(0, x.start - {CONTEXT_CHARS})', 'x.start')}, 'after', {cut('pieces', 'x.end', 'least(x.end + 1, char_length(text))')})"
+        f"'before', {cut('pieces', f'greatest(0, x.start - {CONTEXT_CHARS})', 'x.start')}, 'after', {cut('pieces', 'x.end', 'least(x.end + 1, size)')})"
     )
     features = ", ".join(f"'{k}', {v}" for k, v in FEATURES.items())
     for kind, pattern in GENERATORS.items():
         rows = rows.withColumn(f"_{kind}", located(kind, pattern))
-    described = let("pieces", blocks("text"), f"transform(_raw, x -> {context})")
+    described = let("pieces", blocks("text"), let("size", "char_length(text)", f"transform(_raw, x -> {context})"))
     featured = f"transform(_described, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'f', named_struct({features})))"
     labelled = f"transform({touching('_featured', '_base')}, x -> named_struct('kind', x.span.kind, 'start', x.span.start, 'end', x.span.end, 'f', x.span.f, 'touched', x.touched))"
     return (

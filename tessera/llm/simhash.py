@@ -2,22 +2,23 @@
 
 Method.  Every text gets a 64-bit SimHash over its 3-word shingles.  Only
 *distinct* fingerprints are compared, so copies never meet as pairs.  Two
-fingerprints within ``radius`` bits agree to within ``radius // 2`` bits in one
-of their two 32-bit halves, so one vantage-point tree is kept for each half: a
-node splits the fingerprints by the Hamming distance of their half to a vantage
-point, and the triangle bound says which sides a search ball touches.  Leaves
-are shards.  A fingerprint has one home shard; it also visits, as a guest, the
-shards whose boundary its ball overlaps.  A shard compares its home
-fingerprints with each other and with its guests (full 64-bit distance), and
-emits only a spanning star for each local component.  Where a half no longer
-splits (many fingerprints share it), the node goes on with the other half and
-the full radius.  Components are then found by contraction on DataFrames.
-
-Scale.  Nothing grows on the driver: the tree is fitted on at most
-``sample`` fingerprints, its depth follows the count of distinct
-fingerprints.  Shuffled are 8-byte fingerprints and edges, never texts.
-Work for a fingerprint grows as about N^0.36 (the share of boundary guests a
-level), not as N.
+fingerprints within ``radius`` bits agree in one of radius + 1 blocks of bits,
+so one vantage-point tree is kept for each block: a node splits the fingerprints
+by the Hamming distance of their block to a vantage point, and leaves are
+shards.  As the block is equal, a pair that a tree must find never crosses its
+boundaries, so every fingerprint has one shard a tree.  Where a block no longer
+splits (many fingerprints share it), the node goes on with all bits and the full
+radius: a fingerprint then also visits, as a guest, the shards whose boundary
+its ball overlaps by the triangle bound.  A shard compares its home fingerprints
+with each other and with its guests (full distance), by a vantage-point tree of
+its own that prunes by the same bounds, and emits only a spanning star for each
+local component.  Components are then found by contraction on DataFrames.
+
+Scale.  Nothing grows on the driver: the trees are fitted on at most ``sample``
+fingerprints.  Shuffled are radius + 1 rows of 17 bytes a distinct fingerprint and
+the edges, never texts.  Shards hold about ``shard_rows`` fingerprints as long as
+a block has values to tell them apart (65,536 for radius 3), more beyond; inside a
+shard the work for a fingerprint is what the tree's bounds leave.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, map_texts, materialize, picked
+from tessera.llm.common import discard, first_row, identified, map_texts, materialize, spread_join, without_copies
 
 #: Fingerprints that the shard tree is fitted on, at most.
 TREE_SAMPLE = 1 << 15
@@ -53,7 +54,7 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """The columns of every row but ``text``, and fp, the fingerprint as a signed long."""
 
     def make():
         def work(texts):
@@ -66,11 +67,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 # -- the shard tree ---------------------------------------------------------
 
-LOW = np.uint64(0xFFFFFFFF)
-HIGH = np.uint64(0xFFFFFFFF00000000)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def masks(blocks: int) -> list[np.uint64]:
+    """The bits of each of some blocks of a fingerprint, as even as can be."""
+    return [np.uint64(sum(1 << b for b in range(64) if b * blocks // 64 == k)) for k in range(blocks)]
+
+
 def grow(sample: np.ndarray, mask: np.uint64, radius: int, full_radius: int, depth: int, rng, enough: int = 1) -> dict | None:
     """A node of the tree, or None for a leaf (``depth`` levels down, or at ``enough`` of the sample).  ``radius`` holds for distances under ``mask``."""
     if depth == 0 or len(sample) <= enough:
@@ -127,11 +131,11 @@ def routed(fps: DataFrame, trees: list[dict | None]) -> DataFrame:
             values = np.asarray(batch.column(0)).view(np.uint64)
             for tree, root in enumerate(trees):
                 out: list = []
-                # the path of a leaf, with a leading 1 bit and the tree in the lowest
+                # the path of a leaf, with a leading 1 bit, and the tree
                 route(root, values, np.arange(len(values)), np.ones(len(values), bool), 1, out)
                 for rows, home, shard in out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), shard * 2 + tree, np.int64)), pa.array(values[rows].view(np.int64)), pa.array(home)],
+                        [pa.array(np.full(len(rows), shard * len(trees) + tree, np.int64)), pa.array(values[rows].view(np.int64)), pa.array(home)],
                         names=["shard", "fp", "home"],
                     )
 
@@ -245,26 +249,36 @@ def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for step in maps[1:]:
         nxt = step.select(F.col("node").alias("root"), F.col("to").alias("_to"))
         found = found.join(nxt, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    found = materialize(found, "roots")
+    for step in maps:
+        discard(step)
     return found
 
 
+def firsts(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, n, first) of each of ``nodes`` (key, n, one): first is the first row of its component under ``roots`` (node, root)."""
+    least = roots.join(nodes, roots["node"] == nodes[key]).groupBy("root").agg(F.min("one").alias("of_root"))
+    named = roots.join(least, "root").select(F.col("node").alias(key), "of_root")
+    return materialize(nodes.join(named, key, "left").select(key, "n", F.coalesce("of_root", "one").alias("first")), "firsts")
+
+
 def components(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, sample: int = TREE_SAMPLE) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint; fps has (doc_id, fp). component_id is the least doc_id reachable."""
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    """(fp, n, first) of each distinct fingerprint; fps has (doc_id, mark, fp). n rows have it; first is the first row reachable."""
+    nodes = materialize(fps.groupBy("fp").agg(first_row().alias("one"), F.count("*").alias("n")), "nodes")
     count = nodes.count()
     rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     some = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, count) / shard_rows))))
     rng = np.random.default_rng(SEED)
-    trees = [grow(some, mask, radius // 2, radius, depth, rng) for mask in (LOW, HIGH)] if depth else [None]
-    edges = shard_edges(routed(nodes.select("fp"), trees), radius)
-    roots = materialize(contract(edges), "roots")
-    # a root's least document, over linked fingerprints only
-    least = (
-        roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least_id").alias("least_of_root"))
-    )
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "least_of_root")
-    return nodes.join(named, "fp", "left").select("fp", F.coalesce("least_of_root", "least_id").alias("component_id"))
+    blocks = radius + 1
+    trees = [grow(some, mask, radius // blocks, radius, depth, rng) for mask in masks(blocks)] if depth else [None]
+    return firsts(nodes, contract(shard_edges(routed(nodes.select("fp"), trees), radius)), "fp")
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, **tree) -> DataFrame:
+    """(doc_id, mark, fp, first) of each row."""
+    fps = materialize(fingerprints(identified(docs, id_col, text_col), words), "fingerprints")
+    return spread_join(fps, components(fps, radius, **tree), "fp", fps.count())
 
 
 def near_duplicates(
@@ -278,21 +292,16 @@ def near_duplicates(
     never a component's name unless the component has no other.  An empty table
     gives an empty result.
     """
-    fps = materialize(fingerprints(picked(docs, id_col, text_col), words), "fingerprints")
-    found = components(fps, radius, **tree)
-    return fps.join(found, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return linked(docs, id_col, text_col, words, radius, **tree).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without all but the first row (least id) of each group of near copies; its columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, **tree) -> DataFrame:
+    """``docs`` with one row (least id, rows without id last) of each group of linked fingerprints; its columns as they were.
 
-    Rows that repeat both id and text are one document and stay together only
-    if that id is the group's first; a null id stays if it is alone.
+    Rows go by id and text together: a row never goes for another one that shares its id.  Of rows that
+    repeat id and text one stays.  All rows without words are one group.  An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")
-    ).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["_gone"], "left_anti")
+    rows = materialize(linked(docs, id_col, text_col, words, radius, **tree), "linked")
+    return without_copies(docs, rows, id_col, text_col)

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from tessera.llm import licenses, near_copies, pii, queries, repetition, secrets, simhash, tokens
+from tessera.llm import licenses, pii, queries, repetition, secrets, simhash, tokens
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -254,10 +254,10 @@ def test_dense_cluster(spark):
                 x ^= 1 << b
     fps = sorted(fps)
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
-    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, fp long, mark long")
     want = dict(zip(range(len(fps)), components_base(list(enumerate(fps))), strict=True))
     for how in ({}, {"shard_rows": 16, "sample": 200}):
-        found = simhash.components(frame, **how).join(frame, "fp").select("doc_id", "component_id").collect()
+        found = simhash.components(frame, **how).join(frame, "fp").select("doc_id", "first.doc_id").collect()
         assert {r[0]: r[1] for r in found} == want
 
 
@@ -269,42 +269,6 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
-def test_near_copies(spark, small, texts, odd, empty):
-    """Groups are the components of pairs that both fingerprints link."""
-    rng = random.Random(8)
-    rows = [*small[1], *texts]
-    for k in range(30):  # chains of edited copies
-        w = rng.choice(small[1][:40])[1].split()
-        for _ in range(max(1, len(w) // 60)):
-            w[rng.randrange(len(w))] = "changed"
-        rows.append((10_000 + k, " ".join(w)))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    prints = [(simhash.fingerprint(t or "", 1), near_copies.wide(t or "").view("uint64")) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (a, va) in enumerate(prints):
-        for j, (b, vb) in enumerate(prints[:i]):
-            if bin(a ^ b).count("1") <= near_copies.RADIUS and sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(va, vb, strict=True)) <= near_copies.CHECK_BITS:
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least.setdefault(find(i), []).append(d)
-    want = sorted(((d, min(x for x in least[find(i)] if x is not None) if any(x is not None for x in least[find(i)]) else None) for i, (d, _) in enumerate(rows)), key=repr)
-    for how in ({}, {"shard_rows": 8, "sample": 100}):
-        assert sorted((tuple(r) for r in near_copies.near_copies(frame, **how).collect()), key=repr) == want
-    assert near_copies.near_copies(empty).count() == 0
-    assert near_copies.keep_one(odd).columns == odd.columns
-    five = next(t for _, t in small[1] if 150 < len(set(t.split())) < 300)
-    near = " ".join(["changed" if k == 70 else w for k, w in enumerate(five.split())])
-    kept = near_copies.keep_one(spark.createDataFrame([(3, five), (1, near), (2, "something else entirely here now"), (4, None)], "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
-
-
 # -- tokens --
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.llm import near_copies
+import pytest
+
+from tessera.llm import simhash, similar
 
 
 def five(text):
@@ -15,6 +17,8 @@ def similarity(a, b):
 
 
 def kept_by_brute_force(rows):
+    """One row of each group: the least id, rows without id last; rows are told apart by id and text."""
+    rows = list(dict.fromkeys(rows))
     sets, root = [five(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
@@ -28,13 +32,14 @@ def kept_by_brute_force(rows):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(least.values())
+        key = (d is None, d or 0)
+        least[find(i)] = min(key, least.get(find(i), key))
+    return sorted((None if none else d for none, d in least.values()), key=repr)
 
 
-def kept(spark, rows):
+def kept(spark, rows, **how):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted(r["doc_id"] for r in near_copies.keep_one(frame).collect())
+    return sorted((r["doc_id"] for r in similar.keep_one(frame, **how).collect()), key=repr)
 
 
 def base(small):
@@ -68,13 +73,29 @@ def test_block_edits(spark, small):
         rows.append((1000 + k, t))
         rows.append((2000 + k, " ".join(edits[k % len(edits)])))
     rows += small[1]
-    assert kept(spark, rows) == kept_by_brute_force(rows)
+    want = kept_by_brute_force(rows)
+    assert kept(spark, rows) == want
+    assert kept(spark, rows, block_rows=1) == want  # every group in blocks
 
 
-def test_edges_of_the_table(spark):
+def test_edges_of_the_table(spark, odd, empty):
     rows = [(5, "a b c"), (4, "A  b\nc"), (3, "a b d"), (9, None), (8, ""), (7, " \n"), (None, "q w e r t y"), (None, "nothing else is alike"), (6, "Q w e r t y")]
     rows += [(11, f"hot id text number {k} of many") for k in range(5)]
+    rows += [(12, "repeated row of one id"), (12, "repeated row of one id"), (12, "another text of this id")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(frame).collect()), key=repr)
-    assert [d for d, _ in found] == [11] * 5 + [3, 4, 6, 7, None, None]
-    assert near_copies.keep_one(frame.where("false")).count() == 0
+    found = sorted(((r["doc_id"], r["text"]) for r in similar.keep_one(frame).collect()), key=repr)
+    assert [d for d, _ in found] == [11] * 5 + [12, 12, 3, 4, 6, 7, None]
+    assert similar.keep_one(frame.where("false")).count() == 0
+    assert similar.keep_one(empty).columns == empty.columns
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [-11, 1, 2, 5, 6, 7, 9, None]
+
+
+@pytest.mark.parametrize("keep", [similar.keep_one, simhash.keep_one])
+def test_a_shared_id_loses_no_text(spark, keep):
+    """A row never goes because another one with its id went."""
+    a, b = "one two three four five six seven eight", "some other words that nobody else has here"
+    rows = spark.createDataFrame([(3, a), (7, a), (7, b), (8, b), (None, a), (None, a)], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, keep(rows).collect())) == [(3, a), (7, b)]
+    none = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(map(tuple, keep(none).collect())) == [(None, a), (None, b)]
