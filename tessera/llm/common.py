@@ -92,16 +92,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage with a table written to the shared folder; a lost executor loses nothing of it."""
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Cuts lineage with a table written to the shared folder (in place of what an unfinished run left at ``path``); a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera-{re.sub(r'[^a-z0-9]', '', tag)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{scratch_dir(spark)}/tessera-{re.sub(r'[^a-z0-9]', '', tag)}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table written by ``materialize`` that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)

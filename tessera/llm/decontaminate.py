@@ -10,7 +10,8 @@ Python integers (longer items).  No match within the budget is lost.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters.  The
 benchmark is sent to the tasks in blocks of bounded size; with more blocks the
-texts pass through once a block, never through a join.
+texts pass through once a block, never through a join, and are settled between
+blocks, so that a task and the driver hold one block at a time.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, picked
+from tessera.llm.common import bound_batches, discard, materialize, picked
 from tessera.llm.licenses import TABLE
 
 #: Allowed word edits as a share of an item's words; items under MIN_WORDS must match exactly.
 EDIT_RATE, MIN_WORDS = 0.2, 8
 #: Words of benchmark items in one block at most (about 100 bytes each in a task).
 BLOCK_WORDS = 500_000
+#: Candidates that are verified at a time.
+CANDIDATES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ONE = np.uint64(1)
 
@@ -126,25 +129,27 @@ class Matcher:
         # one separator between texts; 0 is any word that no item has
         ids = np.fromiter((n for t in texts for n in ([get(w, 0) for w in t] + [0])), np.int64, int(sizes.sum()) + len(texts))
         begins = np.concatenate(([0], np.cumsum(sizes + 1)))
-        places, found = [], []
         plain = ids.view(np.uint64)
+        best: dict[tuple[int, int], int] = {}
         for n, hashes, offsets, flat, coarse in self.tables:
             h = rolled(plain, n)
             at = np.nonzero(coarse[(h >> np.uint64(48)).astype(np.int64)])[0]
             row = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
             hit = hashes[row] == h[at]
             at, row = at[hit], row[hit]
-            counts = offsets[row + 1] - offsets[row]
-            at = np.repeat(at, counts)
-            pick = np.repeat(offsets[row] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(len(at))
-            found.append(flat[pick])
-            places.append(at)
-        if not sum(map(len, places)):
-            return []
-        at, (item, offset) = np.concatenate(places), np.concatenate(found).T
-        text = np.searchsorted(begins, at, side="right") - 1
-        cases = np.unique(np.stack([item, at - offset, text], 1), axis=0)
-        best: dict[tuple[int, int], int] = {}
+            # a piece may stand in many items and at many places: its candidates come in bounded parts
+            ends = np.cumsum(offsets[row + 1] - offsets[row])
+            for first in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):
+                number = np.arange(first, min(first + CANDIDATES, int(ends[-1])))
+                hit = np.searchsorted(ends, number, side="right")
+                pick = offsets[row[hit]] + number - (ends[hit] - (offsets[row[hit] + 1] - offsets[row[hit]]))
+                item, offset = flat[pick].T
+                text = np.searchsorted(begins, at[hit], side="right") - 1
+                self.verify(np.unique(np.stack([item, at[hit] - offset, text], 1), axis=0), ids, begins, best)
+        return [(t, self.ids[i], d) for (t, i), d in sorted(best.items())]
+
+    def verify(self, cases: np.ndarray, ids: np.ndarray, begins: np.ndarray, best: dict[tuple[int, int], int]) -> None:
+        """Takes the least distance of each (text, item) within the item's budget from cases (item, start, text) to ``best``."""
         for part in range(0, len(cases), 4096):
             item, start, text = cases[part : part + 4096].T
             k, n = self.budgets[item], self.sizes[item]
@@ -163,7 +168,6 @@ class Matcher:
             for c in np.nonzero(got <= k)[0]:
                 key = (int(text[c]), int(item[c]))
                 best[key] = min(best.get(key, 1 << 30), int(got[c]))
-        return [(t, self.ids[i], d) for (t, i), d in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
@@ -213,7 +217,14 @@ def matched(rows: DataFrame, text_name: str, benchmark: DataFrame, rate, item_id
     out = rows.withColumn("_hits", F.expr("cast(array() as array<struct<item:bigint,distance:bigint>>)"))
     schema = out.schema
     at = out.columns.index(text_name)
+    held, settled = None, None
     for block in blocks(benchmark, item_id_col, item_text_col, block_words):
+        if held is not None:
+            before, settled = settled, materialize(out, "hits")
+            out = settled
+            held.destroy()
+            if before is not None:
+                discard(before)
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
@@ -232,7 +243,10 @@ def matched(rows: DataFrame, text_name: str, benchmark: DataFrame, rate, item_id
 def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; its columns as they were (whatever their names)."""
+    """``docs`` without the rows that hold a benchmark item; its columns as they were (whatever their names).
+
+    Rows with a null or empty text stay, repeated rows and null ids stay or go like any; an empty benchmark or table takes nothing.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     text = f"c{names.index(text_col)}"

@@ -4,12 +4,13 @@ Targets.  Sources share all words by weight; none may pass ``max_epochs`` times
 its own words, and the excess of capped sources is shared among the others by
 weight until none is above.  With sources in order of cap / weight, the capped
 ones are a prefix, so prefix sums give the settled water level in one pass over
-one row a source.
+one row a source (a sort of them in one task: about 50 bytes a source).
 
 Sampling.  A source with r = target / words repeats every document floor(r)
 times, and a sample of the share r - floor(r) once more.  The sample is
-systematic: documents are dealt by a seeded hash into buckets of about
-``bucket_rows``, ordered by size within each, and every 1/share-th is taken.
+systematic: documents are dealt by a seeded hash of id and text into buckets of
+about ``bucket_rows``, ordered by size within each, and every 1/share-th is taken.
+(Only rows that repeat both id and text share a hash.)
 Each bucket tries 40 seeded offsets and takes the one whose words come nearest,
 so that a few long documents do not move a source off its target.  A hot source
 only has more buckets.  All steps are DataFrame functions; reruns agree.
@@ -35,11 +36,14 @@ def unit(key):
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *others: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size"),
+        F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
+        F.md5(text).alias("mark"),
+        *others,
     )
 
 
@@ -79,7 +83,11 @@ def mix(
     targets are 0 and every document is copied 0 times.  An empty table gives an
     empty result.
     """
-    sizes = materialize(sized(docs, id_col, text_col, source_col), "sizes")
+    return decided(materialize(sized(docs, id_col, text_col, source_col), "sizes"), weights, max_epochs, seed, bucket_rows).drop("mark")
+
+
+def decided(sizes: DataFrame, weights, max_epochs: int, seed: int, bucket_rows: int) -> DataFrame:
+    """The columns of ``sizes`` (doc_id, source, size, mark and any others), source_size, target, copies and taken."""
     table = (
         targets(sizes, weights, max_epochs)
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0))
@@ -87,11 +95,9 @@ def mix(
         .withColumnRenamed("source", "_source")
     )
     rows = sizes.join(table, sizes["source"].eqNullSafe(table["_source"]))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("mark"))
     rows = rows.select(
-        "doc_id",
-        "source",
-        "size",
+        *[sizes[c] for c in sizes.columns],
         "source_size",
         "target",
         F.floor("ratio").cast("long").alias("whole"),
@@ -113,14 +119,42 @@ def mix(
     rows = rows.withColumn("misses", F.array(*misses))
     best = F.element_at("picks", F.array_position("misses", F.array_min("misses")).cast("int"))
     return rows.withColumn("copies", F.col("whole") + best).select(
-        "doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *sizes.columns, "source_size", F.round("target", 6).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+ADDED = ["size", "source_size", "target", "copies", "taken"]
+
+
+def mixed(
+    docs: DataFrame,
+    weights=WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+    bucket_rows: int = BUCKET_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with the columns of ``mix`` beside its own: how often each row, with its text, goes into the corpus.
+
+    A column of ``docs`` that has the name of an added one is renamed ``docs_`` and that name.  Rows are numbered in a settled
+    copy, so repeated rows and ids keep their own counts.  Nulls and empty tables as for ``mix``.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    plain = materialize(plain, "numbered")
+    at = {c: f"c{names.index(c)}" for c in (id_col, text_col, source_col)}
+    sizes = sized(plain.withColumn("_row", F.col("row")), at[id_col], at[text_col], at[source_col], "_row")
+    found = decided(materialize(sizes, "sizes"), weights, max_epochs, seed, bucket_rows).select(F.col("_row").alias("row"), *ADDED)
+    shown = [F.col(f"c{k}").alias(f"docs_{c}" if c in ADDED else c) for k, c in enumerate(names)]
+    return plain.join(found, "row").select(*shown, *ADDED)
+
+
 def oracle() -> str:
     """The same by window functions in DuckDB."""
     unit_sql = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-    key = f"'{SEED}:' || coalesce(doc_id::VARCHAR, 'null')"
+    key = f"'{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || mark"
     start = unit_sql.format(f"concat_ws(':', '{SEED}', coalesce(source, ''), bucket::VARCHAR)")
     shift = lambda k: f"(start + {k / OFFSETS}::DOUBLE) - floor(start + {k / OFFSETS}::DOUBLE)"
     picks = ", ".join(
@@ -133,7 +167,7 @@ def oracle() -> str:
     ) + " END"
     return rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents
 ), s1 AS (
   SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
 ), s2 AS (

@@ -56,13 +56,14 @@ TREES, DEPTH, RATE = 24, 3, 0.3
 CONTEXT_CHARS = 24
 CONTEXT = r"(?i)(?:phone|tel|call|fax|mobile|card|visa|iban|account|ssn|ip|host|mail|contact|kontakt|correo|courriel)[^A-Za-z]*$"
 
-#: Features of a candidate, each a small integer, as SQL over x (kind, start, end, value) and the text.
+#: Features of a candidate, each a small integer, as SQL over x (kind, start, end, value) and the text; how an
+#: address is written out is none, as only the plain way has labels.
 FEATURES = {
     "digits": "case when x.d < 7 then 0 when x.d < 10 then 1 when x.d < 12 then 2 when x.d < 14 then 3 when x.d < 20 then 4 else 5 end",
-    "parens": r"cast(x.value rlike '\\(' as int)",
-    "dots": r"least(3, char_length(x.value) - char_length(replace(x.value, '.', '')))",
-    "hyphens": "least(2, char_length(x.value) - char_length(replace(x.value, '-', '')))",
-    "spaces": "least(3, char_length(x.value) - char_length(replace(x.value, ' ', '')))",
+    "parens": r"if(x.kind = 'written', 0, cast(x.value rlike '\\(' as int))",
+    "dots": r"if(x.kind = 'written', 0, least(3, char_length(x.value) - char_length(replace(x.value, '.', ''))))",
+    "hyphens": "if(x.kind = 'written', 0, least(2, char_length(x.value) - char_length(replace(x.value, '-', ''))))",
+    "spaces": "if(x.kind = 'written', 0, least(3, char_length(x.value) - char_length(replace(x.value, ' ', ''))))",
     "check": "cast(x.d between 12 and 19 and luhn_check(regexp_replace(x.value, '[^0-9]', '')) as int)",
     "written": "cast(x.kind = 'written' as int)",
     "context": f"cast(x.before rlike {quoted(CONTEXT)} as int)",
@@ -149,7 +150,7 @@ def value_of(tree: dict, cell: dict) -> float:
 
 def sql_of(tree: dict) -> str:
     if "name" not in tree:
-        return f"{tree['value']:.6f}D"
+        return f"{tree['value']:.15f}D"
     return f"if(x.f.{tree['name']} <= {tree['cut']}, {sql_of(tree['left'])}, {sql_of(tree['right'])})"
 
 
@@ -215,7 +216,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> di
 
 def score(model: dict) -> str:
     """The trees' sum for a candidate x, as SQL."""
-    return " + ".join([f"{model['start']:.6f}D", *(sql_of(t) for t in model["trees"])])
+    return " + ".join([f"{model['start']:.15f}D", *(sql_of(t) for t in model["trees"])])
 
 
 def best_apart(spans: str) -> str:
@@ -230,7 +231,7 @@ def best_apart(spans: str) -> str:
 
 def chosen(rows: DataFrame, model: dict) -> DataFrame:
     """Adds _more (spans that the trees select) and _base and _all by start, then kind, to scanned rows."""
-    cuts = [f"when '{k}' then {v - 1e-6:.6f}D" for k, v in model["least"].items() if v is not None]
+    cuts = [f"when '{k}' then {v - 1e-9:.15f}D" for k, v in model["least"].items() if v is not None]
     if cuts:
         good = f"filter(_found, x -> not x.touched and ({score(model)}) >= case x.kind {' '.join(cuts)} end)"
         high = f"transform({good}, x -> named_struct('start', x.start, 'end', x.end, 'score', {score(model)}))"

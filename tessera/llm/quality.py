@@ -25,8 +25,8 @@ from tessera.llm.common import map_texts, picked
 from tessera.llm.labelled import held_out, labelled_sample
 
 PASSAGE = 64
-#: Bounds of the training sample: rows a label, and characters of a text in it.
-PER_CLASS, MAX_CHARS = 3000, 20_000
+#: Bounds of the training sample: rows and characters a label.
+PER_CLASS, CHARS = 3000, 8_000_000
 SHAPES, FORMS = 16, 10
 HIDDEN, GATES = 24, 12
 THRESHOLD = 0.7
@@ -197,7 +197,7 @@ def predict(model: Model, encoder: Encoder, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **columns) -> Model:
-    return fit(*labelled_sample(docs, labels, label, PER_CLASS, MAX_CHARS, **columns))
+    return fit(*labelled_sample(docs, labels, label, PER_CLASS, CHARS, **columns))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

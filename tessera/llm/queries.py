@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.oracle()}
+    return {"op4_quality_rules": repetition.oracle(), "op10_mixing": mixing.oracle()}

@@ -97,7 +97,7 @@ def measure(text: str) -> dict:
 
 def verdict(m: dict) -> tuple[bool, bool]:
     failed = m["n_words"] < MIN_WORDS or 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]
-    kept = not failed and m["line_coverage"] <= LINE_LIMIT and all(m["coverage"][n] <= x for n, x in NGRAM_LIMITS.items())
+    kept = not failed and m["line_coverage"] <= LINE_LIMIT and all(m["coverage"][n] / x <= 1 for n, x in NGRAM_LIMITS.items())
     return failed, kept
 
 
@@ -124,3 +124,39 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         make,
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double, ngram_coverage_of_limit double",
     )
+
+
+def oracle() -> str:
+    """The same in DuckDB."""
+    lengths = [3, *NGRAM_LIMITS]
+    limits = ", ".join(f"({n}, {x}::DOUBLE)" for n, x in NGRAM_LIMITS.items())
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs
+), grams AS (
+  SELECT row, n, i, length(words[i]) AS chars, CASE WHEN i + n - 1 <= len(words) THEN array_to_string(words[i:i + n - 1], ' ') END AS gram
+  FROM split, (SELECT unnest({lengths}) AS n), unnest(range(1, len(words) + 1)) AS t(i)
+), counted AS (
+  SELECT row, n, i, chars, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY row, n, gram) > 1 THEN i END AS hit FROM grams
+), near AS (
+  SELECT row, n, chars, i - max(hit) OVER (PARTITION BY row, n ORDER BY i ROWS UNBOUNDED PRECEDING) < n AS inside FROM counted
+), covered AS (
+  SELECT row, n, count(*) FILTER (inside) AS words_inside, coalesce(sum(chars) FILTER (inside), 0)::BIGINT AS chars_inside, sum(chars)::BIGINT AS chars FROM near GROUP BY ALL
+), worst AS (
+  SELECT row, max(chars_inside::DOUBLE / chars / x) AS worst FROM covered JOIN (VALUES {limits}) AS l(n, x) USING (n) GROUP BY row
+), lines AS (
+  SELECT row, line, count(*) AS k FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
+), repeats AS (
+  SELECT row, sum(k - 1)::BIGINT AS n_dup_lines, sum((k - 1) * length(line))::DOUBLE / sum(k * length(line)) AS line_coverage FROM lines GROUP BY row
+), all_rows AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(c.chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c.words_inside, 0) AS n_repeat_words, coalesce(line_coverage, 0) AS line_coverage, coalesce(worst, 0) AS worst
+  FROM split LEFT JOIN (SELECT * FROM covered WHERE n = 3) c USING (row) LEFT JOIN repeats USING (row) LEFT JOIN worst USING (row)
+), judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM all_rows
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND line_coverage <= {LINE_LIMIT} AND worst <= 1 AS kept,
+  line_coverage, worst AS ngram_coverage_of_limit FROM judged
+"""

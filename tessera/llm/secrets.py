@@ -15,12 +15,12 @@ smoothed towards its second character's, and both models are mixed with the
 uniform one: random strings may come from alphabets that the samples lack, and a
 pair that ordinary words never had is no proof.  Without samples no token scores.
 
-Thresholds.  The scores of the ordinary tokens of all other texts are counted by class
-of length; a class's threshold is the least whole number that at most
-``FALSE_SHARE`` of them reach.  Unlabelled random strings are among them, and long
-tokens may be little else, so a threshold goes no higher than what ``RANDOM_SHARE``
-of the base secrets reach at that length; nor lower than ``LEAST_SUM`` (odds of a
-million).
+Thresholds.  The scores of the tokens of all other texts that overlap no base span
+are counted by class of length.  Those that reach ``LEAST_SUM`` (odds of a million)
+and are proven ordinary, as numbers or because they recur after different tokens
+(copies of a text repeat its secrets, but after the same ones), set the class's
+threshold: the least whole number that at most ``FALSE_SHARE`` of its tokens reach
+so, and at least ``LEAST_SUM``.
 What remains out of reach: tokens under eight characters, random strings that
 are short or look like words.
 """
@@ -57,10 +57,8 @@ UNIFORM = {1: 0.5, 0: 0.05}
 TRAIN_ROWS = 4000
 #: Least log-likelihood ratio of a span.
 LEAST_SUM = 14
-#: Share of the ordinary tokens of a class of length that may reach the threshold, and the least lengths of the classes.
+#: Share of a class's tokens that are proven ordinary and may reach the threshold, and the least lengths of the classes.
 FALSE_SHARE, LENGTHS = 0.0001, (8, 12, 16, 20, 24, 32, 48)
-#: Share of base secrets that a threshold must let through.
-RANDOM_SHARE = 0.9
 #: Ratios are held in this many parts of a nat.
 PARTS = 10_000
 NONE = len(ALPHABET)
@@ -123,35 +121,26 @@ def fitted(rows: DataFrame) -> list[int]:
     return [round(PARTS * (random[a + b] - ordinary[a + b])) for a in ALPHABET for b in ALPHABET]
 
 
-def lowest(counts: dict[int, int], share: float) -> float:
-    """The least score that more than a share of the counted ones reach no further than."""
-    below, total = 0, sum(counts.values())
-    for x in sorted(counts):
-        below += counts[x]
-        if below > share * total:
-            return x
-    return math.inf
-
-
 def thresholds(rows: DataFrame, ratios: list[int]) -> dict[int, int]:
-    """The threshold of each class of length, from the tokens of all rows given."""
+    """The threshold of each class of length, from the tokens of all rows given that overlap no base span."""
     least = dict.fromkeys(LENGTHS, LEAST_SUM)
     if not ratios:
         return least
-    sums = F.expr(f"floor({ratio('value', ratios)} / {PARTS})")
-    size = F.char_length("value")
-    # of ordinary tokens the sum, of random strings tenths of a nat a character
-    score = F.when(F.col("random") == 0, F.greatest(sums, F.lit(LEAST_SUM - 1))).otherwise(F.floor(sums * 10 / size))
-    kind = F.when(F.col("random") == 0, F.expr(class_of("char_length(value)")))
-    found = labelled(base_spans(rows), TOKEN).select("random", kind.alias("class"), score.alias("score")).groupBy("random", "class", "score").count().collect()
-    rate = lowest({r["score"]: r["count"] for r in found if r["random"]}, 1 - RANDOM_SHARE)
+    rest = base_spans(rows).select(masked("text", "_base", " ").alias("rest"))
+    tokens = rest.select(F.regexp_extract_all("rest", F.lit(TOKEN), F.lit(0)).alias("values"))
+    tokens = tokens.select(F.posexplode("values").alias("at", "value"), F.col("values")).select("value", F.expr("if(at = 0, '', values[at - 1])").alias("before"))
+    sums = F.greatest(F.expr(f"floor({ratio('value', ratios)} / {PARTS})"), F.lit(LEAST_SUM - 1))
+    kinds = tokens.select(F.expr(class_of("char_length(value)")).alias("class"), sums.alias("sum"), F.when(sums >= LEAST_SUM, F.col("value")).alias("value"), F.xxhash64("before").alias("before"))
+    each = kinds.groupBy("class", "sum", "value").agg(F.count("*").alias("n"), (F.min("before") < F.max("before")).alias("recurs"))
+    proven = F.when(F.col("recurs") | F.col("value").rlike(NUMBER), F.col("n")).otherwise(0)
+    found = each.groupBy("class", "sum").agg(F.sum("n").alias("n"), F.sum(proven).alias("ordinary")).collect()
     for n in LENGTHS:
-        mine = {r["score"]: r["count"] for r in found if not r["random"] and r["class"] == n}
-        allowed, above = FALSE_SHARE * sum(mine.values()), 0
-        for x in sorted(mine, reverse=True):
-            above += mine[x]
+        mine = [r for r in found if r["class"] == n]
+        allowed, above = FALSE_SHARE * sum(r["n"] for r in mine), 0
+        for r in sorted(mine, key=lambda r: -r["sum"]):
+            above += r["ordinary"] if r["sum"] >= LEAST_SUM else 0
             if above > allowed:
-                least[n] = max(LEAST_SUM, math.floor(min(x + 1, n * rate / 10)))
+                least[n] = r["sum"] + 1
                 break
     return least
 

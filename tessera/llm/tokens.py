@@ -45,10 +45,11 @@ def default_model() -> str:
 
 
 class Counter:
-    def __init__(self, model_file: str, table: dict[str, int] | None = None):
+    def __init__(self, model_file: str | None = None, table: dict[str, int] | None = None):
+        """``model_file`` is a path on the machine that counts; None: where the vocabulary package has it there."""
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file or default_model())
         self.table = table or {}
         self.cache: dict[str, int] = {}
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.vocab_size())]
@@ -98,7 +99,7 @@ class Counter:
         return total
 
 
-def frequent(rows: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
+def frequent(rows: DataFrame, model_file: str | None, sample_rows: int = SAMPLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
     """Lengths of frequent pre-tokens of a sample of the texts; each task proposes at most PROPOSED, of which ``size`` stay."""
     count = rows.count()
     if not count:
@@ -116,7 +117,7 @@ def frequent(rows: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS, s
         top = seen.most_common(PROPOSED)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["key", "n"])
 
-    sampled = rows.select("text").where(F.rand(17) < min(1.0, sample_rows / count)).coalesce(16)
+    sampled = rows.select("text").where(F.rand(17) < min(1.0, sample_rows / count))
     top = (
         sampled.mapInArrow(propose, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "key").limit(size).collect()
@@ -132,7 +133,6 @@ def token_counts(
 
     Null and empty texts have 0 of both. Repeated rows and null ids stay as they are; an empty table gives an empty result.
     """
-    model_file = model_file or default_model()
     rows = picked(docs, id_col, text_col)
     table = docs.sparkSession.sparkContext.broadcast(frequent(rows, model_file))
 

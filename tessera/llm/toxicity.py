@@ -27,8 +27,8 @@ from tessera.llm.common import bound_batches, map_texts, picked
 from tessera.llm.decontaminate import words_of
 from tessera.llm.labelled import labelled_sample
 
-#: Bounds of the training sample: rows a grade, and characters of a text in it.
-PER_CLASS, MAX_CHARS = 2500, 20_000
+#: Bounds of the training sample: rows and characters a grade.
+PER_CLASS, CHARS = 2500, 8_000_000
 #: Features kept, fewest toxic rows with a feature, and lengths of the word beginnings in bytes.
 FEATURES, MIN_ROWS, BEGINNINGS = 4000, 4, (4, 5, 6, 7, 8)
 THRESHOLD = 0.35
@@ -165,7 +165,7 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], steps: int = 400,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **columns) -> Model:
-    return fit(*labelled_sample(docs, labels, label, PER_CLASS, MAX_CHARS, **columns))
+    return fit(*labelled_sample(docs, labels, label, PER_CLASS, CHARS, **columns))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +197,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the toxic rows; its columns as they were (whatever their names).  No shuffle."""
+    """``docs`` without the toxic rows; its columns as they were (whatever their names).  No shuffle.
+
+    A null, empty or wordless text has no evidence and stays; repeated rows and null ids stay or go like any; an empty table stays empty.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
