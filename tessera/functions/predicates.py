@@ -9,9 +9,11 @@ not compare are unequal and unordered; that is decided while the plan is built.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
@@ -64,6 +66,32 @@ def valid_pattern(frame: DataFrame, pattern: str) -> bool:
         return False
 
 
+@F.pandas_udf(T.BooleanType())
+def _found(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    known: dict[str, re.Pattern | None] = {}
+
+    def test(t: str | None, p: str | None) -> bool | None:
+        if t is None or p is None:
+            return None
+        if p not in known:
+            try:
+                known[p] = re.compile(p)
+            except re.error:
+                known[p] = None
+        return known[p] is not None and known[p].search(t) is not None
+
+    return pd.Series([test(t, p) for t, p in zip(text, pattern, strict=True)], dtype=object)
+
+
+def matches(text: Column, pattern: Column, whole: bool = False) -> Column:
+    """A pattern that is a value of the row, where a bad one is false.
+
+    The JVM's functions end the job at a bad pattern, so this one goes through Arrow batches, and its
+    patterns are Python's.  Patterns that the command names stay in the JVM.
+    """
+    return _found(text, F.concat(F.lit("^(?:"), pattern, F.lit(r")\Z")) if whole else pattern)
+
+
 class Predicates:
     """Conditions over the rows of one frame."""
 
@@ -140,7 +168,7 @@ class Predicates:
             return F.lit(False) if kind in ("bool", OTHER) else ORDERINGS[operator](left, right)
         if kind != TEXT:
             return F.lit(False)
-        return F.rlike(left, right) if operator == "Matches" else TEXT_TESTS[operator](left, right)
+        return matches(left, right) if operator == "Matches" else TEXT_TESTS[operator](left, right)
 
     def compound(self, spec: dict) -> Column:
         operator = spec["operator"]

@@ -20,13 +20,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import InvalidCommand, TypeMismatch, ValidationError
-from tessera.functions.predicates import valid_pattern
+from tessera.functions.predicates import matches, valid_pattern
 from tessera.functions.values import BOOL, NUMBER, OTHER, TEXT, TIME, kind_of, property_of
 from tessera.graph import DST, EDGE_COLUMNS, ID, LABEL, LABELS, NODE_COLUMNS, SRC, PropertyGraph, q
 from tessera.operators import mutations
 from tessera.operators.iteration import settled
 from tessera.plans.cypher_parser import EdgePattern, Expr, NodePattern, Path, Return, Statement, Update, parse
 
+#: Functions of one value: the kind they take (any for None), else the result is null.
+FUNCTIONS = {
+    "tolower": (TEXT, F.lower),
+    "toupper": (TEXT, F.upper),
+    "trim": (TEXT, F.trim),
+    "size": (TEXT, lambda c: F.char_length(c).cast("long")),
+    "abs": (NUMBER, F.abs),
+    "tostring": (None, lambda c: c.cast("string")),
+    "tointeger": (None, lambda c: c.try_cast("double").try_cast("long")),
+    "tofloat": (None, lambda c: c.try_cast("double")),
+}
+#: Functions of all rows of a group, which the other returned values make.
+GROUPED = {
+    "count": lambda c: F.count(c),
+    "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
+    "avg": lambda c: F.avg(c),
+    "min": lambda c: F.min(c),
+    "max": lambda c: F.max(c),
+    "collect": lambda c: F.collect_list(c),
+}
+
 ARITHMETIC = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
 
 
@@ -35,7 +56,7 @@ class CypherResult:
     """kind: rows (frame), created (nodes, edges), updated or deleted (count), empty."""
 
     kind: str
-    frame: DataFrame | None = None
+    frame: DataFrame | None = None  # of rows
     nodes: int = 0
     edges: int = 0
     count: int = 0
@@ -56,6 +77,7 @@ class Bound:
 
     nodes: bool
     tables: list[str]
+    optional: bool = False
 
 
 class Rows:
@@ -98,8 +120,46 @@ class Rows:
             return F.negate(self.number(e.parts[0]))
         if k == "plus":
             return self.number(e.parts[0])
+        if k == "column":  # a column of the plan's own
+            return q(e.value)
+        if k == "case":
+            return self.case(e)
+        if k == "call":
+            return self.call(e)
         return self.truth(e)
 
+    def case(self, e: Expr) -> Column:
+        """parts: condition, value, ..., and a last value for the rest."""
+        tests = [self.test(p) for p in e.parts[:-1:2]]
+        values = [self.value(p) for p in e.parts[1:-1:2]] + [self.value(e.parts[-1])]
+        kinds = {kind_of(t) for t in map(self.type, values) if not isinstance(t, T.NullType)}
+        if len(kinds) > 1:
+            raise InvalidCommand("the values of CASE must be of one kind")
+        out = values[-1]
+        for test, value in zip(reversed(tests), reversed(values[:-1]), strict=True):
+            out = F.when(test, value).otherwise(out)
+        return out
+
+    def call(self, e: Expr) -> Column:
+        name, parts = e.value, e.parts
+        if name in GROUPED:
+            raise InvalidCommand(f"{name} stands only by itself in RETURN")
+        if name in ("id", "type", "labels") and len(parts) == 1 and parts[0].kind == "variable" and parts[0].value in self.bound:
+            variable = parts[0].value
+            if (name == "type") == self.bound[variable].nodes and name != "id":
+                raise InvalidCommand(f"{name} takes {'an edge' if name == 'type' else 'a node'}")
+            return self.column(variable, {"id": ID, "type": LABEL, "labels": LABELS}[name])
+        if name == "coalesce" and parts:
+            return F.coalesce(*map(self.value, parts))
+        if name not in FUNCTIONS or len(parts) != 1:
+            raise InvalidCommand(f"function {name} is not supported")
+        kind, f = FUNCTIONS[name]
+        c = self.value(parts[0])
+        have = kind_of(self.type(c))
+        if name == "size" and have == OTHER:
+            return F.size(c).cast("long")
+        return f(c) if kind in (None, have) else F.lit(None).cast("string" if kind == TEXT else "double")
+
     def number(self, e: Expr) -> Column:
         c = self.value(e)
         return c if kind_of(self.type(c)) == NUMBER else F.lit(None).cast("double")
@@ -124,8 +184,10 @@ class Rows:
         names = self.graph.properties(b.tables, edges=not b.nodes)
         properties = F.struct(*[c(n).alias(n) for n in names]) if names else F.create_map().cast("map<string,string>")
         if b.nodes:
-            return F.struct(c(ID).alias("id"), c(LABELS).alias("labels"), properties.alias("properties"))
-        return F.struct(c(ID).alias("id"), c(LABEL).alias("type"), c(SRC).alias("source"), c(DST).alias("target"), properties.alias("properties"))
+            found = F.struct(c(ID).alias("id"), c(LABELS).alias("labels"), properties.alias("properties"))
+        else:
+            found = F.struct(c(ID).alias("id"), c(LABEL).alias("type"), c(SRC).alias("source"), c(DST).alias("target"), properties.alias("properties"))
+        return F.when(c(ID).isNotNull(), found) if b.optional else found
 
     def arithmetic(self, e: Expr) -> Column:
         a, b = (self.value(p) for p in e.parts)
@@ -145,10 +207,17 @@ class Rows:
 
     def truth(self, e: Expr) -> Column:
         """Never null: null and none are false, any other value than a boolean is true."""
+        return F.coalesce(self.test(e), F.lit(False))
+
+    def test(self, e: Expr) -> Column:
+        """The same, but null may stand for false: what a filter takes, and scans and joins can use."""
         k = e.kind
-        if k in ("and", "or", "xor"):
+        if k in ("and", "or"):
+            a, b = (self.test(p) for p in e.parts)
+            return a & b if k == "and" else a | b
+        if k == "xor":
             a, b = (self.truth(p) for p in e.parts)
-            return a & b if k == "and" else a | b if k == "or" else a != b
+            return a != b
         if k == "not":
             return ~self.truth(e.parts[0])
         if k in ("is_null", "is_not_null"):
@@ -158,11 +227,29 @@ class Rows:
         if k == "compare":
             tests = [self.compare(op, a, b) for op, a, b in zip(e.value, e.parts, e.parts[1:], strict=False)]
             return functools.reduce(lambda x, y: x & y, tests)
+        if k == "in":
+            return self.member(*e.parts)
         c = self.value(e)
         kind = self.type(c)
         if isinstance(kind, T.NullType):
             return F.lit(False)
-        return F.coalesce(c, F.lit(False)) if isinstance(kind, T.BooleanType) else c.isNotNull()
+        return c if isinstance(kind, T.BooleanType) else c.isNotNull()
+
+    def member(self, left: Expr, right: Expr) -> Column:
+        """Whether a value equals an element of a list."""
+        if right.kind == "list":
+            tests = [self.compare("=", left, p) for p in right.parts]
+            return functools.reduce(lambda x, y: x | y, tests, F.lit(False))
+        c, whole = self.value(left), self.value(right)
+        kind = self.type(whole)
+        if not isinstance(kind, T.ArrayType) or kind_of(kind.elementType) != kind_of(self.type(c)):
+            return F.lit(False)
+        return F.array_contains(whole, c)
+
+    def same(self, a: Column, b: Column) -> Column:
+        """Equality of two values of the frame; false for other kinds."""
+        ta, tb = self.type(a), self.type(b)
+        return a == b if kind_of(ta) == kind_of(tb) and (kind_of(ta) != OTHER or ta == tb) else F.lit(False)
 
     def compare(self, operator: str, left: Expr, right: Expr) -> Column:
         no = F.lit(False)
@@ -179,27 +266,22 @@ class Rows:
             a, b = (c if k == TIME else F.try_to_timestamp(c) for c, k in ((a, ka), (b, kb)))
             ka = kb = TIME
         same = ka == kb and (ka != OTHER or ta == tb)
-        both = a.isNotNull() & b.isNotNull()
         if operator in ("=", "<>"):
             if not same:
-                return both if operator == "<>" else no
-            if ka == NUMBER and not (isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType)):
-                equal = F.abs(a.cast("double") - b.cast("double")) < 2.220446049250313e-16
-            else:
-                equal = a == b
-            return F.coalesce(equal if operator == "=" else ~equal, no)
+                return a.isNotNull() & b.isNotNull() if operator == "<>" else no
+            return a == b if operator == "=" else a != b
         if operator == "=~":
             if self.graph_compat or ka != TEXT or kb != TEXT:
                 return no
             if right.kind == "literal":
-                return F.coalesce(a.rlike(f"^(?:{right.value})$"), no) if valid_pattern(self.frame, right.value) else no
-            return F.coalesce(F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))), no)
+                return a.rlike(f"^(?:{right.value})$") if valid_pattern(self.frame, right.value) else no
+            return matches(a, b, whole=True)
         if operator in ("contains", "starts", "ends"):
             test = {"contains": F.contains, "starts": F.startswith, "ends": F.endswith}[operator]
-            return F.coalesce(test(a, b), no) if ka == kb == TEXT else no
+            return test(a, b) if ka == kb == TEXT else no
         if not same or ka == OTHER:
             raise InvalidCommand(f"values of kinds {ka} and {kb} have no order")
-        return F.coalesce({"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[operator], no)
+        return {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[operator]
 
     graph_compat = False
 
@@ -208,6 +290,16 @@ def renamed(frame: DataFrame, variable: str) -> DataFrame:
     return frame.select(*[q(c).alias(f"{variable}.{c}") for c in frame.columns])
 
 
+def grouped(e: Expr) -> bool:
+    return e.kind == "call" and e.value in GROUPED
+
+
+def conjuncts(e: Expr | None) -> list[Expr]:
+    if e is None:
+        return []
+    return [x for p in e.parts for x in conjuncts(p)] if e.kind == "and" else [e]
+
+
 class Planner:
     def __init__(self, graph: PropertyGraph, compat: bool = False):
         self.graph, self.compat = graph, compat
@@ -231,7 +323,9 @@ class Planner:
         if not s.updates:
             if s.result is None:
                 return CypherResult("empty")
-            return CypherResult("rows", None if rows is None else self.project(s.result, rows))
+            if rows is None:  # columns, but no rows to return them for
+                rows = self.rows(self.one_row().frame.where(F.lit(False)), {})
+            return CypherResult("rows", self.project(s.result, rows))
         out = CypherResult("empty")
         if rows is not None:  # what is matched is fixed before anything changes
             rows = self.rows(settled(rows.frame), rows.bound)
@@ -271,26 +365,60 @@ class Planner:
     # -- MATCH --
 
     def match(self, s: Statement) -> Rows:
-        bound: dict[str, Bound] = {}
-        frame: DataFrame | None = None
-        for path in s.match:
-            part, own = self.path(path)
-            if frame is None:
-                frame, bound = part, own
+        rows = self.pattern(s.match, s.where)
+        for paths, condition in s.optional:
+            rows = self.optional(rows, paths, condition)
+        return rows
+
+    def pattern(self, paths: list[Path], condition: Expr | None) -> Rows:
+        """The joined paths.  An equality of AND between two parts joins them; Catalyst takes the other conditions to their scans."""
+        parts = [self.path(p) for p in paths]
+        whole = self.rows(*parts[0])
+        rest, tests = parts[1:], conjuncts(condition)
+        while rest:
+            # first what shares a variable or an equality with the rows so far: a cross join only if nothing does
+            order = [bool(set(own) & set(whole.bound)) or bool(self.keys(whole, self.rows(part, own), tests)) for part, own in rest]
+            part, own = rest.pop(order.index(True) if True in order else 0)
+            whole = self.joined(whole, self.rows(part, own), tests)
+        return self.rows(whole.frame.where(whole.test(condition)), whole.bound) if condition is not None else whole
+
+    def keys(self, a: Rows, b: Rows, tests: list[Expr]) -> list[Column]:
+        """Equalities between a value of ``a`` alone and one of ``b`` alone."""
+        out = []
+        for e in tests:
+            if e.kind != "compare" or e.value != ["="]:
                 continue
-            shared = [v for v in own if v in bound]
-            for v in shared:
-                if own[v].nodes != bound[v].nodes:
-                    raise InvalidCommand(f"'{v}' is a node and an edge")
-            if not shared:
-                frame = frame.crossJoin(part)
-            else:
-                renames = {c: f"{c}\t2" for v in shared for c in part.columns if c.startswith(f"{v}.")}
-                part = part.select(*[q(c).alias(renames.get(c, c)) for c in part.columns])
-                frame = frame.join(part, [q(f"{v}.{ID}") == q(f"{v}.{ID}\t2") for v in shared]).drop(*renames.values())
-            bound |= {v: b for v, b in own.items() if v not in bound}
-        rows = self.rows(frame, bound)
-        return self.rows(rows.frame.where(rows.truth(s.where)), bound) if s.where is not None else rows
+            for x, y in (e.parts, e.parts[::-1]):
+                vx, vy = x.variables(), y.variables()
+                if vx and vy and vx <= set(a.bound) and vy <= set(b.bound) and not vx & set(b.bound) and not vy & set(a.bound):
+                    # typed by both sides together, resolved by the join
+                    whole = self.rows(a.frame.limit(0).crossJoin(b.frame.limit(0)), a.bound | b.bound)
+                    out.append(whole.compare("=", x, y))
+        return out
+
+    def joined(self, a: Rows, b: Rows, tests: list[Expr], how: str = "inner") -> Rows:
+        shared = [v for v in b.bound if v in a.bound]
+        for v in shared:
+            if b.bound[v].nodes != a.bound[v].nodes:
+                raise InvalidCommand(f"'{v}' is a node and an edge")
+        part, gone = b.frame, []
+        if shared:
+            renames = {c: f"{c}\t2" for v in shared for c in part.columns if c.startswith(f"{v}.")}
+            part, gone = part.select(*[q(c).alias(renames.get(c, c)) for c in part.columns]), list(renames.values())
+        on = [q(f"{v}.{ID}") == q(f"{v}.{ID}\t2") for v in shared] + self.keys(a, b, tests)
+        frame = a.frame.join(part, on, how) if on else a.frame.crossJoin(part) if how == "inner" else a.frame.join(part, F.lit(True), how)
+        return self.rows(frame.drop(*gone), a.bound | {v: x for v, x in b.bound.items() if v not in a.bound})
+
+    def optional(self, rows: Rows, paths: list[Path], condition: Expr | None) -> Rows:
+        """Each row with every match of the paths, or once with nulls for their variables."""
+        numbered = self.rows(settled(rows.frame.withColumn("\trow", F.monotonically_increasing_id())), rows.bound)
+        found = self.joined(numbered, self.pattern(paths, None), conjuncts(condition))
+        if condition is not None:
+            found = self.rows(found.frame.where(found.test(condition)), found.bound)
+        new = [c for c in found.frame.columns if c not in numbered.frame.columns]
+        matches_ = found.frame.select(q("\trow").alias("\trow2"), *map(q, new))
+        frame = numbered.frame.join(matches_, q("\trow") == q("\trow2"), "left").drop("\trow", "\trow2")
+        return self.rows(frame, {v: b if v in rows.bound else Bound(b.nodes, b.tables, True) for v, b in found.bound.items()})
 
     def node_frame(self, p: NodePattern, variable: str) -> tuple[DataFrame, Bound]:
         label = p.labels[0] if p.labels else None
@@ -361,10 +489,10 @@ class Planner:
 
     # -- RETURN --
 
-    def project(self, ret: Return, rows: Rows | None) -> DataFrame | None:
-        if rows is None:
-            return None
+    def project(self, ret: Return, rows: Rows) -> DataFrame:
         items = [(Expr("variable", v), None) for v in rows.bound] if ret.everything else ret.items
+        if any(grouped(e) for e, _ in items):
+            return self.aggregate(ret, items, rows)
         named: dict[str, Column] = {}
         for e, alias in items:
             named[alias or e.text()] = rows.value(e)
@@ -379,18 +507,44 @@ class Planner:
         select = [c.alias(n) for n, c in named.items()]
         sort = [c.alias(f"__s{k}") for k, (c, _) in enumerate(keys)]
         frame = rows.frame.select(*select, *sort)
-        by = [q(f"__s{k}").asc_nulls_first() if up else q(f"__s{k}").desc_nulls_last() for k, (_, up) in enumerate(keys)]
+        return self.cut(ret, frame, list(named), [up for _, up in keys])
+
+    def cut(self, ret: Return, frame: DataFrame, names: list[str], ups: list[bool]) -> DataFrame:
+        """DISTINCT, ORDER BY (by __s0, __s1, ...), SKIP and LIMIT."""
+        by = [q(f"__s{k}").asc_nulls_first() if up else q(f"__s{k}").desc_nulls_last() for k, up in enumerate(ups)]
         if ret.distinct and not self.compat:
-            frame = frame.dropDuplicates(list(named))
+            frame = frame.dropDuplicates(names)
         if by:
             frame = frame.orderBy(*by)
         if ret.skip:
             frame = frame.offset(ret.skip)
         if ret.limit is not None:
             frame = frame.limit(ret.limit)
-        frame = frame.select(*[q(n) for n in named])
+        frame = frame.select(*[q(n) for n in names])
         return frame.dropDuplicates() if ret.distinct and self.compat else frame
 
+    def aggregate(self, ret: Return, items: list[tuple[Expr, str | None]], rows: Rows) -> DataFrame:
+        """One row a group of equal plain values; one row in all without plain values."""
+        names = [alias or e.text() for e, alias in items]
+        keys = [rows.value(e).alias(n) for (e, _), n in zip(items, names, strict=True) if not grouped(e)]
+        found = []
+        for (e, _), n in zip(items, names, strict=True):
+            if grouped(e):
+                inner = F.lit(1) if not e.parts else rows.column(e.parts[0].value, ID) if e.value == "count" and e.parts[0].kind == "variable" and e.parts[0].value in rows.bound else None
+                if inner is None:
+                    inner = rows.number(e.parts[0]) if e.value in ("sum", "avg") else rows.value(e.parts[0])
+                if e.distinct:
+                    found.append((F.count_distinct(inner) if e.value == "count" else F.sum_distinct(inner) if e.value == "sum" else F.collect_set(inner) if e.value == "collect" else GROUPED[e.value](inner)).alias(n))
+                else:
+                    found.append(GROUPED[e.value](inner).alias(n))
+        frame = (rows.frame.groupBy(*keys) if keys else rows.frame.groupBy()).agg(*found).select(*map(q, names))
+        texts = {e.text() if not grouped(e) else n: n for (e, _), n in zip(items, names, strict=True)} | {n: n for n in names}
+        for e, _ in ret.order:
+            if e.text() not in texts:
+                raise InvalidCommand("with a grouped value, ORDER BY takes returned values only")
+        sort = [q(texts[e.text()]).alias(f"__s{k}") for k, (e, _) in enumerate(ret.order)]
+        return self.cut(ret, frame.select(*map(q, names), *sort), names, [up for _, up in ret.order])
+
     # -- updates --
 
     def one_row(self) -> Rows:
@@ -498,21 +652,55 @@ class Planner:
         return self.rows(frame, {**rows.bound, variable: Bound(False, [table])})
 
     def merge(self, path: Path, rows: Rows | None) -> tuple[Rows, int]:
-        """The first node with the label and properties, or a new one."""
+        """The first node with the label and properties, or a new one; after MATCH, for each of its rows.
+
+        Rows that ask for the same absent node get one new node.
+        """
         p = path.nodes[0]
-        if rows is not None:
-            raise InvalidCommand("MERGE after MATCH is not supported")
         if not p.labels:
             raise InvalidCommand("MERGE needs a label")
         variable = p.variable or "\tmerged"
-        found, b = self.node_frame(p, variable)
-        first = settled(found.orderBy(q(f"{variable}.{ID}")).limit(1))
-        if not first.isEmpty():
-            return self.rows(first, {variable: b}), 0
-        return self.new_node(p, variable, self.one_row()), 1
+        if rows is None:
+            found, b = self.node_frame(p, variable)
+            first = settled(found.orderBy(q(f"{variable}.{ID}")).limit(1))
+            if not first.isEmpty():
+                return self.rows(first, {variable: b}), 0
+            return self.new_node(p, variable, self.one_row()), 1
+        if variable in rows.bound:
+            raise InvalidCommand(f"'{variable}' is bound already")
+        plain = NodePattern(variable, p.labels, {})
+        names = list(p.properties)
+        wanted = settled(rows.frame.withColumns({f"\tkey{k}": rows.value(p.properties[n]) for k, n in enumerate(names)}))
+        keys = wanted.select(*[q(f"\tkey{k}") for k in range(len(names))]).distinct() if names else self.one_row().frame
+        keyed = self.rows(keys.withColumnsRenamed({f"\tkey{k}": f"\tw.{n}" for k, n in enumerate(names)}), {})
+
+        def of(frame: DataFrame) -> DataFrame:
+            """The least node of each key."""
+            nodes, b = self.node_frame(plain, variable)
+            both = self.rows(keyed.frame.crossJoin(nodes.limit(0)), {variable: b})
+            same = [both.same(q(f"\tw.{n}"), both.property(Expr("property", n, [Expr("variable", variable)]))) for n in names]
+            hits = frame.join(nodes, same) if same else frame.crossJoin(nodes)
+            best = F.min_by(F.struct(*[q(c) for c in nodes.columns]), q(f"{variable}.{ID}")).alias("\tbest")
+            group = [q(c) for c in frame.columns]
+            return hits.groupBy(*group).agg(best).select(*group, *[F.col("`\tbest`").getField(c).alias(c) for c in nodes.columns])
+
+        have = settled(of(keyed.frame))
+        on = [q(f"\tw.{n}").eqNullSafe(q(f"\th.{n}")) for n in names]
+        seen = have.select(*[q(f"\tw.{n}").alias(f"\th.{n}") for n in names]) if names else have
+        # a null is never found and never equal, so each statement makes it anew, once a key
+        absent = settled(keyed.frame.join(seen, on, "left_anti") if names else keyed.frame.limit(0 if not have.isEmpty() else 1))
+        count = absent.count()
+        if count:
+            made = NodePattern(variable, p.labels, {n: Expr("column", f"\tw.{n}") for n in names})
+            made_rows = self.new_node(made, variable, self.rows(absent, {}))
+            have = have.unionByName(made_rows.frame.select(*[q(c) for c in made_rows.frame.columns if c in have.columns]), allowMissingColumns=True)
+        back = [q(f"\tkey{k}").eqNullSafe(q(f"\tw.{n}")) for k, n in enumerate(names)]
+        joined = wanted.join(have, back) if names else wanted.crossJoin(have.drop("__row"))
+        joined = joined.drop(*[f"\tkey{k}" for k in range(len(names))], *[f"\tw.{n}" for n in names])
+        return self.rows(joined, {**rows.bound, variable: Bound(True, self.graph.node_tables(p.labels[0]))}), count
 
     def change(self, u: Update, rows: Rows) -> int:
-        """SET and REMOVE: the last row that names an item decides; each row and item counts."""
+        """SET and REMOVE: of rows that give one item different values the greatest decides (rows have no order); each row and item counts."""
         count = rows.frame.count() * len(u.items)
         for item in u.items:
             variable, key = item[:2]

@@ -23,15 +23,18 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 @dataclass
 class Expr:
-    """kind: literal, variable, property, list, map, compare, contains-like, and/or/xor, not, arithmetic, negate, plus, is_null, is_not_null."""
+    """kind: literal, variable, property, list, map, compare, contains-like, in, and/or/xor, not, arithmetic, negate, plus, is_null, is_not_null, case, call (distinct: of different values)."""
 
     kind: str
     value: Any = None
     parts: list[Expr] = field(default_factory=list)
+    distinct: bool = False
 
     def text(self) -> str:
         if self.kind == "variable":
             return self.value
+        if self.kind == "call":
+            return f"{self.value}({'DISTINCT ' * self.distinct}{', '.join(p.text() for p in self.parts) or '*'})"
         return f"{self.parts[0].text()}.{self.value}" if self.kind == "property" else "value"
 
     def variables(self) -> set[str]:
@@ -82,6 +85,7 @@ class Update:
 class Statement:
     match: list[Path] | None = None
     where: Expr | None = None
+    optional: list[tuple[list[Path], Expr | None]] = field(default_factory=list)
     updates: list[Update] = field(default_factory=list)
     result: Return | None = None
 
@@ -147,7 +151,11 @@ class Parser:
             if s.result is not None:
                 raise InvalidCommand("UNION is not supported" if self.word("UNION") else "nothing may follow RETURN")
             if self.word("OPTIONAL", "MATCH"):
-                raise InvalidCommand("OPTIONAL MATCH is not supported")
+                if s.match is None or s.updates:
+                    raise InvalidCommand("OPTIONAL MATCH needs a MATCH before it and no updates")
+                paths = self.paths()
+                s.optional.append((paths, self.expression() if self.word("WHERE") else None))
+                continue
             if self.word("MATCH"):
                 if s.match is not None:
                     raise InvalidCommand("a second MATCH is not supported")
@@ -314,7 +322,9 @@ class Parser:
                 operators, parts = [], []
                 continue
             elif self.word("IN"):
-                raise InvalidCommand("IN is not supported")
+                out = Expr("in", None, [self.compared(out, operators, parts), self.sum()])
+                operators, parts = [], []
+                continue
             else:
                 return self.compared(out, operators, parts)
             parts.append(self.sum())
@@ -385,15 +395,38 @@ class Parser:
         if kind == "word" and text.upper() in ("TRUE", "FALSE", "NULL"):
             self.at += 1
             return Expr("literal", {"TRUE": True, "FALSE": False, "NULL": None}[text.upper()])
-        if kind == "word" and text.upper() == "CASE":
-            raise InvalidCommand("CASE is not supported")
+        if self.word("CASE"):
+            return self.case()
         if kind == "mark" and text == "$":
             raise InvalidCommand("parameters are not supported")
         name = self.name()
-        if self.peek() == ("mark", "("):
-            raise InvalidCommand(f"function {name} is not supported")
+        if self.mark("("):
+            return self.call(name.lower())
         return Expr("variable", name)
 
+    def case(self) -> Expr:
+        """CASE, with or without a value to compare; parts: condition, value, ..., value of the rest."""
+        subject = None if self.peek()[1].upper() == "WHEN" else self.expression()
+        parts = []
+        while self.word("WHEN"):
+            test = self.expression()
+            if not self.word("THEN"):
+                raise InvalidCommand("expected THEN")
+            parts += [test if subject is None else Expr("compare", ["="], [subject, test]), self.expression()]
+        rest = self.expression() if self.word("ELSE") else Expr("literal", None)
+        if not parts or not self.word("END"):
+            raise InvalidCommand("expected WHEN or END")
+        return Expr("case", None, [*parts, rest])
+
+    def call(self, name: str) -> Expr:
+        distinct = self.word("DISTINCT")
+        if name == "count" and self.mark("*"):
+            parts = []
+        else:
+            parts = self.listed(self.expression)
+        self.need(")")
+        return Expr("call", name, parts, distinct)
+
 
 def parse(text: str) -> list[Statement]:
     return Parser(text).statements()

@@ -82,12 +82,74 @@ def test_projection(c):
         ("-n.age < -(+30)", ["Carol"]),
         ("n.nothing = 1", []),
         ("n.name = \"Al\\u0069ce\"", ["Alice"]),
+        ("n.age IN [25, 30, 'x']", ["Alice", "Bob"]),
+        ("NOT n.age IN [25]", ["Alice", "Carol", "Dan"]),
+        ("n.age IN []", []),
+        ("CASE WHEN n.age > 26 THEN 'old' WHEN n.age > 1 THEN 'young' END = 'young'", ["Bob"]),
+        ("CASE n.name WHEN 'Dan' THEN 1 ELSE 0 END = 1", ["Dan"]),
+        ("toUpper(n.name) = 'BOB' OR size(n.name) = 3 AND coalesce(n.age, 7) = 7", ["Bob", "Dan"]),
+        ("n.name =~ n.name", ["Alice", "Bob", "Carol", "Dan"]),
+        ("n.name =~ ('(')", []),
+        ("abs(n.age - 40) > 12 AND toInteger('3') = 3", ["Bob"]),
     ],
 )
 def test_expressions(c, test, found):
     assert names(c, f"MATCH (n:Person) WHERE {test} RETURN n.name AS n") == found
 
 
+def test_grouped(c):
+    assert rows(c, "MATCH (n:Person) RETURN count(*) AS all, count(n.age) AS ages, count(DISTINCT n.age) AS different, sum(n.age) AS s, min(n.name) AS first") == [
+        {"all": 4, "ages": 3, "different": 3, "s": sum(r["a"] for r in rows(c, "MATCH (n:Person) WHERE n.age > 0 RETURN n.age AS a")), "first": "Alice"}
+    ]
+    assert rows(c, "MATCH (a)-[r:KNOWS]->(b) RETURN a.name AS a, count(r) AS n ORDER BY n DESC, a LIMIT 1") == [{"a": "Alice", "n": 2}]
+    assert rows(c, "MATCH (n:Person {name: 'Nobody'}) RETURN count(*)") == [{"count(*)": 0}]
+    assert sorted(rows(c, "MATCH (n:City) RETURN collect(n.name) AS x")[0]["x"]) == sorted(names(c, "MATCH (n:City) RETURN n.name AS n"))
+
+
+def test_optional(c):
+    found = rows(c, "MATCH (n:Person) OPTIONAL MATCH (n)-[:LIVES_IN]->(x:City) RETURN n.name AS n, x.name AS x, x")
+    assert {r["n"]: r.get("x") is not None for r in found} == {"Alice": True, "Bob": False, "Carol": False, "Dan": False}
+    found = rows(c, "MATCH (n:Person {name: 'Alice'}) OPTIONAL MATCH (n)-[:KNOWS]->(m) WHERE m.name = 'Bob' RETURN m.name AS m")
+    assert found == [{"m": "Bob"}]
+    assert rows(c, "MATCH (n:Person {name: 'Dan'}) OPTIONAL MATCH (n)-[:KNOWS]->(m) RETURN count(m) AS k, count(*) AS all") == [{"k": 0, "all": 1}]
+
+
+def test_merge_for_each_row(c):
+    assert rows(c, "MATCH (n:Person) MERGE (x:City {name: n.name}) RETURN n.name AS n, x.name AS x ORDER BY n") == [{"n": n, "x": n} for n in ("Alice", "Bob", "Carol", "Dan")]
+    assert c.count_nodes("City") == 5
+    assert rows(c, "MATCH (n:Person) MERGE (x:City {name: n.name})") == {"created": {"nodes": 0, "edges": 0}}
+    assert rows(c, "MATCH (n:Person) MERGE (x:City {name: 'One'}) CREATE (n)-[:LIVES_IN]->(x)") == {"created": {"nodes": 1, "edges": 4}}
+    assert len(rows(c, "MATCH (n)-[:LIVES_IN]->(x {name: 'One'}) RETURN n.name AS n")) == 4
+    assert c.verify() == []
+
+
+def test_no_match(c):
+    found = c.cypher("RETURN 1 AS one").frame
+    assert found.columns == ["one"] and found.collect() == []
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def test_plans(spark):
+    """Filters reach the scan, and an equality across patterns joins by hash or merge."""
+    from tessera import queries
+
+    folder = "/root/testdata/sf0.001"
+    for name, columns in (("cypher_match_where_return", ("c_acctbal", "c_mktsegment")), ("cypher_inline_properties", ("p_size", "p_brand"))):
+        scan = [x for x in plan_of(queries.FOUND[name](spark, folder)).splitlines() if "PushedFilters" in x][-1]
+        assert f"PushedFilters: [IsNotNull({columns[0]})" in scan and f"isnotnull({columns[1]}" in scan, scan
+    g = queries.graph_of(spark, folder)
+    text = "MATCH (a:Customer), (b:Order), (r:Region) WHERE a.c_custkey = b.o_custkey AND r.r_regionkey < 2 AND a.c_acctbal = b.o_totalprice RETURN a.c_custkey AS a, b.o_orderkey AS b"
+    physical = plan_of(queries.cypher_plan.execute(g, text).frame).split("== Physical Plan ==")[1]
+    joins = [x for x in physical.splitlines() if "HashJoin" in x or "SortMergeJoin" in x]
+    assert any("c_custkey" in x and "c_acctbal" in x for x in joins)
+    text = "MATCH (c:Customer)-[:PLACED]->(o:Order), (s:Supplier) WHERE s.s_nationkey = c.c_nationkey RETURN s.s_suppkey AS s, o.o_orderkey AS o"
+    physical = plan_of(queries.cypher_plan.execute(g, text).frame).split("== Physical Plan ==")[1]
+    assert "NestedLoop" not in physical and "Cartesian" not in physical
+
+
 def test_unicode(c):
     rows(c, "CREATE (p:人物 {名前: '花', `first name`: 'Hana'})-[:`works at`]->(c:City {name: '東京'})")
     assert rows(c, "MATCH (p:人物)-[:`works at`]->(c) WHERE p.`first name` = 'Hana' RETURN p.名前, c.name AS c") == [{"p.名前": "花", "c": "東京"}]
@@ -142,8 +204,10 @@ def test_delete(c):
         "MATCH (n)-[*1..3]->(m) RETURN m",
         "MATCH (n)-[:KNOWS]->+(m) RETURN m",
         "MATCH (n:Person) RETURN n UNION MATCH (n:City) RETURN n",
-        "MATCH (n:Person) RETURN count(n)",
-        "MATCH (n:Person) WHERE n.age IN [1] RETURN n",
+        "MATCH (n:Person) RETURN nothing(n)",
+        "MATCH (n:Person) RETURN count(n) + 1",
+        "MATCH (n:Person) RETURN count(n) AS k ORDER BY n.age",
+        "MATCH (n:Person) RETURN CASE WHEN n.age > 1 THEN 1 ELSE 'x' END",
         "MATCH (n:Person) WHERE n.age > 'x' RETURN n",
         "MATCH (n:Typo) RETURN n",
         "MATCH (n:Person) RETURN m",
