@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
-import shutil
 import sys
-import tempfile
+import uuid
 
 from tessera import ddl
 from tessera.api import Connection
 from tessera.errors import GraphError
+from tessera.operators.iteration import shared_folder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +44,19 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def stored_input(spark, kind: str) -> str:
+    """Standard input as a file in the folder that the executors share."""
+    path = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}.{kind}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        while part := sys.stdin.buffer.read(1 << 20):
+            out.write(part)
+    finally:
+        out.close()
+    return path
+
+
 def run(spark, args: argparse.Namespace) -> object:
     if args.command == "init":
         Connection.create(spark, args.db).close()
@@ -67,9 +80,7 @@ def run(spark, args: argparse.Namespace) -> object:
         if args.command == "import":
             path = args.file
             if path == "-":
-                with tempfile.NamedTemporaryFile("w", suffix=f".{args.format}", delete=False, encoding="utf-8") as f:
-                    shutil.copyfileobj(sys.stdin, f)
-                path = f"file://{f.name}"
+                path = stored_input(spark, args.format)
             return (c.import_csv if args.format == "csv" else c.import_json)(path, args.id_prop)
         if args.command == "export":
             if args.format == "csv" and not args.type:

@@ -40,6 +40,8 @@ def copied(graph: PropertyGraph) -> PropertyGraph:
         dynamic_nodes=set(graph.dynamic_nodes),
         dynamic_edges=set(graph.dynamic_edges),
         ids=TypeIds(graph.ids.ids),
+        stored=dict(graph.stored),
+        grown=dict(graph.grown),
     )
 
 
@@ -61,9 +63,8 @@ class Connection:
     def create(spark: SparkSession, path: str) -> Connection:
         if store.exists(spark, path):
             raise GraphError(f"there is a graph at {path} already")
-        out = Connection(PropertyGraph(spark, Schema()), path)
-        store.save(out.graph, path)
-        return out
+        store.save(PropertyGraph(spark, Schema()), path)
+        return Connection.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Connection:
@@ -332,8 +333,9 @@ class Connection:
 
     # -- files and care --
 
-    def import_csv(self, path: str, id_prop: str = "id") -> dict:
-        return self.change(lambda g: text_files.import_csv(g, path, id_prop))
+    def import_csv(self, path: str, id_prop: str = "id", declare: bool = False, plain: bool = False) -> dict:
+        """``declare``: types that the schema lacks get the types that their cells read as; ``plain``: no cell holds a line feed, so large files are split."""
+        return self.change(lambda g: text_files.import_csv(g, path, id_prop, declare, plain))
 
     def import_json(self, path: str, id_prop: str = "id") -> dict:
         return self.change(lambda g: text_files.import_json(g, path, id_prop))
@@ -349,7 +351,10 @@ class Connection:
         if self.path is None:
             self.compact()
             return []
-        self.keep()
+        if self.held is not None:
+            raise InvalidCommand("a transaction is open")
+        store.save(self.graph, self.path, whole=True)
+        self.graph = store.load(self.graph.spark, self.path)
         return store.vacuum(self.graph.spark, self.path)
 
     @staticmethod

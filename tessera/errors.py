@@ -39,3 +39,7 @@ class EdgeNotFound(NotFound):
 
 class UnsupportedVersion(GraphError):
     """A stored graph has a format that this version does not read."""
+
+
+class Conflict(GraphError):
+    """Another writer committed first."""

@@ -58,6 +58,24 @@ def stacked(frames: list[DataFrame], keep: tuple[str, ...], columns: list[str])
     return out
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A table as a store holds it: the frame that reads it, its folders and its schema as JSON."""
+
+    frame: DataFrame
+    parts: list[str]
+    schema: str
+
+
+@dataclass(frozen=True)
+class Grown:
+    """A table's frame that is another one, and nothing but rows added to it."""
+
+    frame: DataFrame
+    base: DataFrame
+    added: DataFrame
+
+
 @dataclass
 class PropertyGraph:
     """``more`` names the labels that rows of a type may carry beside its own; a label that is no type is dynamic."""
@@ -72,6 +90,10 @@ class PropertyGraph:
     dynamic_edges: set[str] = field(default_factory=set)
     ids: TypeIds = field(default_factory=TypeIds)
     next_id: int = 0
+    #: The version that the graph was read from, its tables there, and those that rows were appended to since.
+    version: str | None = None
+    stored: dict[str, Stored] = field(default_factory=dict)
+    grown: dict[str, Grown] = field(default_factory=dict)
 
     def __post_init__(self):
         for name, kind in self.schema.nodes.items():
@@ -81,6 +103,18 @@ class PropertyGraph:
             self.ids.of(name)
             self.edges.setdefault(name, local_rows(self.spark, [], struct_of(kind)))
 
+    def append(self, table: str, rows: DataFrame, edges: bool = False) -> None:
+        """Adds rows to a table; a column that they lack is null."""
+        tables, key = (self.edges, f"edge:{table}") if edges else (self.nodes, f"node:{table}")
+        old = tables[table]
+        rows = old.limit(0).unionByName(rows, allowMissingColumns=True)
+        tables[table] = old.unionByName(rows)
+        grown = self.grown.get(key)
+        if grown and grown.frame is old:
+            self.grown[key] = Grown(tables[table], grown.base, grown.added.unionByName(rows))
+        else:
+            self.grown[key] = Grown(tables[table], old, rows)
+
     # -- which tables can hold what --
 
     def node_labels(self) -> set[str]:

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where all tasks run on this machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -163,7 +163,7 @@ def insert_nodes(graph: PropertyGraph, table: str, rows: list[dict[str, Any]], l
     data = [(i, table, [table, *extra], *[v.get(f.name) for f in kind.fields]) for i, v in zip(ids, values, strict=True)]
     added = local_rows(graph.spark, data, schema)
     check_unique(graph, table, added)
-    graph.nodes[table] = graph.nodes[table].unionByName(added, allowMissingColumns=True)
+    graph.append(table, added)
     if extra:
         graph.more_node_labels.setdefault(table, set()).update(extra)
     graph.next_id += len(rows)
@@ -186,7 +186,7 @@ def insert_edges(graph: PropertyGraph, table: str, rows: list[tuple[int, int, di
     ]
     added = local_rows(graph.spark, data, struct_of(kind))
     check_endpoints(graph, kind, added)
-    graph.edges[table] = graph.edges[table].unionByName(added, allowMissingColumns=True)
+    graph.append(table, added, edges=True)
     if extra:
         graph.more_edge_labels.setdefault(table, set()).update(extra)
     graph.next_id += len(rows)
@@ -207,8 +207,7 @@ def check_endpoints(graph: PropertyGraph, kind: EdgeType, added: DataFrame) -> N
 
 def append_frame(graph: PropertyGraph, table: str, frame: DataFrame, edges: bool = False) -> None:
     """Bulk insertion of rows that already have the table's columns (ids included); checked like single ones."""
-    kinds, tables = (graph.schema.edges, graph.edges) if edges else (graph.schema.nodes, graph.nodes)
-    kind = kinds[table]
+    kind = (graph.schema.edges if edges else graph.schema.nodes)[table]
     unknown = set(frame.columns) - set(struct_of(kind).names)
     if unknown:
         raise ValidationError(f"'{table}' has no field {sorted(unknown)}")
@@ -216,7 +215,7 @@ def append_frame(graph: PropertyGraph, table: str, frame: DataFrame, edges: bool
         check_endpoints(graph, kind, frame)
     else:
         check_unique(graph, table, frame)
-    tables[table] = tables[table].unionByName(frame, allowMissingColumns=True)
+    graph.append(table, frame, edges)
 
 
 # -- property changes --
@@ -267,31 +266,37 @@ def apply_changes(graph: PropertyGraph, table: str, changes: DataFrame, names: l
 # -- deletion --
 
 
-def delete_nodes(graph: PropertyGraph, ids: DataFrame) -> None:
-    """Without the nodes of ``ids`` (one column ID) and every edge at them."""
+def delete_nodes(graph: PropertyGraph, ids: DataFrame, tables: list[str] | None = None) -> None:
+    """Without the nodes of ``ids`` (one column ID) and every edge at them; ``tables``: the types that they may have."""
     gone = ids.select(ID).distinct()
-    for t, frame in graph.nodes.items():
-        graph.nodes[t] = frame.join(gone, ID, "left_anti")
+    tables = list(graph.nodes) if tables is None else tables
+    for t in tables:
+        graph.nodes[t] = graph.nodes[t].join(gone, ID, "left_anti").select(*map(q, graph.nodes[t].columns))
     for t, frame in graph.edges.items():
         for side in (SRC, DST):
-            frame = frame.join(gone.select(q(ID).alias(side)), side, "left_anti").select(*map(q, frame.columns))
+            if graph.ends(t, side) & set(tables):
+                frame = frame.join(gone.select(q(ID).alias(side)), side, "left_anti").select(*map(q, frame.columns))
         graph.edges[t] = frame
 
 
-def delete_edges(graph: PropertyGraph, ids: DataFrame) -> None:
+def delete_edges(graph: PropertyGraph, ids: DataFrame, tables: list[str] | None = None) -> None:
     gone = ids.select(ID).distinct()
-    for t, frame in graph.edges.items():
-        graph.edges[t] = frame.join(gone, ID, "left_anti")
+    for t in list(graph.edges) if tables is None else tables:
+        graph.edges[t] = graph.edges[t].join(gone, ID, "left_anti").select(*map(q, graph.edges[t].columns))
 
 
 def delete_one(graph: PropertyGraph, id_: int, edges: bool = False) -> None:
     """The same for one id, as filters on constants."""
-    (edge_row if edges else node_row)(graph, id_)
+    table, _ = (edge_row if edges else node_row)(graph, id_)
+    if edges:
+        graph.edges[table] = graph.edges[table].where(q(ID) != id_)
+        return
+    graph.nodes[table] = graph.nodes[table].where(q(ID) != id_)
     for t, frame in graph.edges.items():
-        graph.edges[t] = frame.where(q(ID) != id_) if edges else frame.where((q(SRC) != id_) & (q(DST) != id_))
-    if not edges:
-        for t, frame in graph.nodes.items():
-            graph.nodes[t] = frame.where(q(ID) != id_)
+        sides = [q(s) != id_ for s in (SRC, DST) if table in graph.ends(t, s)]
+        for side in sides:
+            frame = frame.where(side)
+        graph.edges[t] = frame
 
 
 # -- labels --

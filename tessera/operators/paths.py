@@ -3,8 +3,9 @@
 One search runs from all sources at once: a row (source, node) is met once, at
 its least depth, with the edge and node that it was first met from.  Each level
 joins the frontier with the edges, drops what was met before, and keeps one
-parent for each node.  Levels are settled in the checkpoint folder; the driver
-sees only the paths asked for.
+parent for each node.  Levels are settled in the checkpoint folder.  Whether a
+search is done is seen by counting which of the asked-for nodes its sources met; pairs
+are never listed.  A path is walked back one level at a time, each step settled.
 """
 
 from __future__ import annotations
@@ -38,42 +39,43 @@ def steps(graph: PropertyGraph, direction: str, edge_types: list[str] | None) ->
     return out
 
 
-def search(graph: PropertyGraph, sources: list[int], targets: list[int], max_depth: int, direction: str, edge_types: list[str] | None, pairs_left: int) -> DataFrame:
-    """What the searches met (source, node, parent, edge, depth), until ``pairs_left`` (source, target) pairs with source < target in list order are met."""
+def search(graph: PropertyGraph, sources: list[int], targets: list[int], max_depth: int, direction: str, edge_types: list[str] | None) -> list[DataFrame]:
+    """What the searches met (source, node, parent, edge, depth) at depth 0, 1, ..., until every source has met every target but itself."""
     spark = graph.spark
     ways = steps(graph, direction, edge_types)
     frontier = local_rows(spark, [(s, s, None, None, 0) for s in dict.fromkeys(sources)], MET)
-    met = frontier
-    wanted = local_rows(spark, [(s, t) for i, s in enumerate(sources) for t in targets[i + 1 if sources == targets else 0 :] if s != t] or [(None, None)], "source long, node long")
+    levels, met = [frontier], frontier.select("source", "node")
+    wanted = local_rows(spark, [(t,) for t in dict.fromkeys(targets)], "node long")  # one row a node asked for
+    left = len(set(sources)) * len(set(targets)) - len(set(sources) & set(targets))
     for depth in range(1, max_depth + 1):
         moved = frontier.select("source", q("node").alias("at")).join(ways, "at")
         # out before in, newest edge first: the order in which neighbours are met
         first = F.min_by(F.struct("at", "edge"), F.struct("turn", -F.col("edge")))
         level = moved.groupBy("source", q("to").alias("node")).agg(first.alias("best"))
-        level = level.join(met.select("source", "node"), ["source", "node"], "left_anti")
+        level = level.join(met, ["source", "node"], "left_anti")
         level = settled(level.select("source", "node", F.col("best.at").alias("parent"), F.col("best.edge").alias("edge"), F.lit(depth).alias("depth")))
-        hits = F.broadcast(wanted.withColumn("hit", F.lit(1)))  # one row a pair asked for
-        size, found = level.join(hits, ["source", "node"], "left").agg(F.count("*"), F.count("hit")).first()
+        size, found = level.join(wanted.withColumn("hit", F.lit(1)), "node", "left").agg(F.count("*"), F.count("hit")).first()
         if not size:
             break
-        met = met.unionAll(level)
-        frontier = level
-        pairs_left -= found
-        if pairs_left <= 0:
+        levels.append(level)
+        met, frontier = met.unionAll(level.select("source", "node")), level
+        left -= found
+        if left <= 0:
             break
-    return met
-
-
-def traced(met: DataFrame, pairs: list[tuple[int, int]], max_depth: int) -> DataFrame:
-    """(source, target, pos, node, edge) of each pair's path, walked back from the target; edge leads to the node."""
-    spark = met.sparkSession
-    at = local_rows(spark, pairs or [(None, None)], "source long, target long").withColumn("node", F.col("target"))
-    here = at.join(met, ["source", "node"]).select("source", "target", q("depth").alias("pos"), "node", "edge", "parent")
-    out = here
-    for _ in range(max_depth):
-        here = here.where("parent is not null").select("source", "target", q("parent").alias("node")).join(met, ["source", "node"])
-        here = here.select("source", "target", q("depth").alias("pos"), "node", "edge", "parent")
-        out = out.unionAll(here)
+    return levels
+
+
+def traced(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
+    """(source, target, pos, node, edge) of the path of each of ``ends`` (source, target) that was met, walked back from the target; edge leads to the node."""
+    here: DataFrame | None = None
+    out: DataFrame | None = None
+    for depth in range(len(levels) - 1, -1, -1):
+        # what ends at this depth, and the parents of what was one deeper
+        at = ends.select("source", "target", q("target").alias("node"))
+        if here is not None:
+            at = at.unionAll(here.select("source", "target", q("parent").alias("node")))
+        here = settled(at.join(levels[depth], ["source", "node"]).select("source", "target", q("depth").alias("pos"), "node", "edge", "parent"))
+        out = here if out is None else out.unionAll(here)
     return out.drop("parent")
 
 
@@ -84,8 +86,7 @@ def shortest_path(
     spark = graph.spark
     if start == end:
         return local_rows(spark, [(0, start, None)], "pos int, node_id long, edge_id long")
-    met = search(graph, [start], [end], max_depth, direction, edge_types, 1)
-    path = traced(met, [(start, end)], max_depth)
+    path = traced(search(graph, [start], [end], max_depth, direction, edge_types), local_rows(spark, [(start, end)], "source long, target long"))
     return path.select("pos", q("node").alias("node_id"), q("edge").alias("edge_id")).orderBy("pos")
 
 
@@ -96,11 +97,17 @@ def connecting_subgraph(
     nodes = list(dict.fromkeys(nodes))
     spark = graph.spark
     own = local_rows(spark, [(n,) for n in nodes], "node_id long")
-    pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]]
-    if not pairs:
+    if len(nodes) < 2:
         return own, local_rows(spark, [], "edge_id long")
-    met = search(graph, nodes, nodes, max_depth, direction, edge_types, len(pairs))
-    path = traced(met, pairs, max_depth)
+    levels = search(graph, nodes, nodes, max_depth, direction, edge_types)
+    # one path for each two nodes: from the one listed first
+    order = local_rows(spark, list(enumerate(nodes)), "place long, node long")
+    met = levels[0]
+    for level in levels[1:]:
+        met = met.unionAll(level)
+    first = order.select(q("place").alias("from"), q("node").alias("source"))
+    ends = met.join(order, "node").join(first, "source").where(q("from") < q("place")).select("source", q("node").alias("target"))
+    path = traced(levels, ends)
     found = path.select(q("node").alias("node_id")).unionAll(own).distinct()
     return found, path.where("edge is not null").select(q("edge").alias("edge_id")).distinct()
 

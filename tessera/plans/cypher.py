@@ -740,7 +740,7 @@ class Planner:
         for v in dict.fromkeys(variables):
             ids = rows.frame.select(q(f"{v}.{ID}").alias(ID)).distinct()
             count += ids.count()
-            (mutations.delete_nodes if rows.bound[v].nodes else mutations.delete_edges)(self.graph, ids)
+            (mutations.delete_nodes if rows.bound[v].nodes else mutations.delete_edges)(self.graph, ids, rows.bound[v].tables)
         return count
 
 

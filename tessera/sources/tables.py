@@ -1,12 +1,13 @@
 """A property graph over relational tables: rows become nodes, keys become edges.
 
 A node's id is its type's number and its key in one long (16 and 48 bits), so
-ids are unique without a lookup and an edge's ends follow from foreign keys.
+ids are unique without a lookup and an edge's ends follow from foreign keys.  A key
+of more than 48 bits, or a part of one that has no room, ends the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,8 @@ from tessera.catalog import DST, ID, LABEL, LABELS, SRC, EdgeType, Field, NodeTy
 from tessera.graph import PropertyGraph, q
 
 KEY_BITS = 48
+#: Bits of a turn's number in its conversation, and of a line's number in its order.
+TURN_BITS, LINE_BITS = 12, 12
 
 NAMES = [
     (T.BooleanType, "Boolean"),
@@ -39,6 +42,17 @@ def fields_of(frame: DataFrame, json: set[str]) -> tuple[Field, ...]:
     return tuple(Field(f.name, TypeExpr("Json") if f.name in json else type_of(f.dataType)) for f in frame.schema if not f.name.startswith("__"))
 
 
+def fitting(key: Column, bound: int) -> Column:
+    """A key from 0 up to a bound; a null stays null, any other value ends the job."""
+    key = key.cast("long")
+    return F.when(key.isNull() | key.between(0, bound - 1), key).otherwise(F.raise_error(F.concat(F.lit("a key has no room in an id: "), key.cast("string"))).cast("long"))
+
+
+def pair_key(major: Column, minor: Column, bits: int) -> Column:
+    """Two keys in one: ``bits`` bits for the second."""
+    return fitting(major, 1 << (KEY_BITS - bits)) * F.lit(1 << bits) + fitting(minor, 1 << bits)
+
+
 class Builder:
     """Collects node and edge tables; ``graph`` makes the graph."""
 
@@ -51,7 +65,7 @@ class Builder:
         self.numbers: dict[str, int] = {}
 
     def id_of(self, label: str, key: Column) -> Column:
-        return F.lit(self.numbers[label]).cast("long") * F.lit(1 << KEY_BITS) + key.cast("long")
+        return F.lit(self.numbers[label]).cast("long") * F.lit(1 << KEY_BITS) + fitting(key, 1 << KEY_BITS)
 
     def node(self, label: str, frame: DataFrame, key: Column, json: set[str] = frozenset(), extra: Column | None = None, extra_labels: set[str] = frozenset()) -> None:
         """``extra``: an array of further labels of a row, all among ``extra_labels``."""
@@ -66,7 +80,7 @@ class Builder:
         """key: a long that tells the rows of the table apart."""
         number = len(self.edge_frames) + 1
         self.edge_frames[name] = frame.select(
-            (F.lit(number).cast("long") * F.lit(1 << KEY_BITS) + key.cast("long")).alias(ID),
+            (F.lit(number).cast("long") * F.lit(1 << KEY_BITS) + fitting(key, 1 << KEY_BITS)).alias(ID),
             self.id_of(*source).alias(SRC),
             self.id_of(*target).alias(DST),
             F.lit(name).alias(LABEL),
@@ -83,6 +97,12 @@ class Builder:
         )
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """With __line, a line's place in its order; plans that ask for no edge id leave it out."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return lines.withColumn("__line", F.row_number().over(place) - 1)
+
+
 def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The graph over the star schema and corpus tables of ``folder``."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
@@ -104,19 +124,18 @@ def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     marks = F.array_compact(F.array(F.when(q("quality").isNotNull(), F.lit("Labeled")), F.when(q("toxic") == 1, F.lit("Toxic"))))
     b.node("Document", documents, q("doc_id"), extra=marks, extra_labels={"Labeled", "Toxic"})
     turns = read("conversations")
-    turn_key = q("conv_id") * 1000 + q("turn")
+    turn_key = pair_key(q("conv_id"), q("turn"), TURN_BITS)
     b.node("Turn", turns, turn_key)
-    lines = read("lineitem")
+    lines = numbered_lines(read("lineitem"))
     b.edge("IN_REGION", read("nation"), ("Nation", q("n_nationkey")), ("Region", q("n_regionkey")), q("n_nationkey"))
     b.edge("LIVES_IN", read("customer"), ("Customer", q("c_custkey")), ("Nation", q("c_nationkey")), q("c_custkey"))
     b.edge("BASED_IN", read("supplier"), ("Supplier", q("s_suppkey")), ("Nation", q("s_nationkey")), q("s_suppkey"))
     b.edge("PLACED", read("orders"), ("Customer", q("o_custkey")), ("Order", q("o_orderkey")), q("o_orderkey"))
-    # no two lines share order, part, supplier and line number
-    line_key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    measures = [c for c in lines.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]
+    line_key = pair_key(q("l_orderkey"), q("__line"), LINE_BITS)
+    measures = [c for c in lines.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey", "__line")]
     b.edge("CONTAINS", lines, ("Order", q("l_orderkey")), ("Part", q("l_partkey")), line_key, measures)
     b.edge("SHIPPED_BY", lines, ("Order", q("l_orderkey")), ("Supplier", q("l_suppkey")), line_key, ["l_quantity", "l_shipdate"])
     b.edge("PERFORMED", read("events"), ("Customer", q("user_id")), ("Event", q("event_id")), q("event_id"))
     after = turns.select("conv_id", (q("turn") + 1).alias("turn")).join(turns.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    b.edge("NEXT", after, ("Turn", q("conv_id") * 1000 + q("turn") - 1), ("Turn", q("conv_id") * 1000 + q("turn")), turn_key)
+    b.edge("NEXT", after, ("Turn", pair_key(q("conv_id"), q("turn") - 1, TURN_BITS)), ("Turn", turn_key), turn_key)
     return b.graph()

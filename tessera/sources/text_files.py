@@ -1,10 +1,13 @@
 """CSV and JSON in and out.
 
 CSV: a header with ``:TYPE``; with ``:FROM`` and ``:TO`` too, all rows are edges.
-JSON: an array of {"type", "props", "from"?, "to"?}.  An edge's ends are values
-of the nodes' id property; of nodes with the same value the latest counts, and
-those of the file before those of the graph.  Rows are typed column-wise by the
-schema and appended as DataFrames; nothing is collected.
+Cells may hold line feeds, so a file is one task; with ``plain`` none does and a
+file is split.  JSON: items {"type", "props", "from"?, "to"?}, one a line (with or
+without the brackets and commas of an array), which are read in splits; an array
+laid out otherwise is one task a file.  An edge's ends are values of the nodes' id
+property, or the "id" of an item without one; of nodes with the same value the
+latest counts, and those of the file before those of the graph.  Rows are typed
+column-wise by the schema and appended as DataFrames; nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.catalog import DST, ID, LABEL, LABELS, SRC, Field
+from tessera.catalog import DST, ID, LABEL, LABELS, SRC, EdgeType, Field, NodeType, Schema, TypeExpr
 from tessera.errors import InvalidCommand, NodeNotFound, TypeMismatch, ValidationError
 from tessera.functions.conversions import convert
 from tessera.graph import PropertyGraph, q
@@ -22,6 +25,8 @@ from tessera.operators import mutations
 from tessera.operators.iteration import settled
 
 TYPE, FROM, TO = ":TYPE", ":FROM", ":TO"
+#: The id that a JSON item has beside its properties.
+OWN = ":ID"
 
 
 # -- in --
@@ -64,45 +69,87 @@ def infer_types(frame: DataFrame) -> dict[str, str]:
     return {c: next((t for t in kinds if found[f"{k}n"] and found[f"{k}{t}"] == found[f"{k}n"]), "String") for k, c in enumerate(columns)}
 
 
-def read_csv(graph: PropertyGraph, path: str) -> DataFrame:
-    frame = graph.spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, nullValue="\u0000none", emptyValue="")
+def read_csv(graph: PropertyGraph, path: str, plain: bool = False) -> DataFrame:
+    frame = graph.spark.read.csv(path, header=True, multiLine=not plain, escape='"', inferSchema=False, nullValue="\u0000none", emptyValue="")
     if TYPE not in frame.columns:
         raise InvalidCommand(f"{path}: the header has no {TYPE}")
     return frame
 
 
-def import_csv(graph: PropertyGraph, path: str, id_prop: str = "id") -> dict:
+def declare_types(graph: PropertyGraph, rows: DataFrame, columns: list[str], edges: bool) -> None:
+    """Adds the types that the schema lacks; a field has the type that all filled cells of its column read as, and fields without cells are left out."""
+    kinds = graph.schema.edges if edges else graph.schema.nodes
+    fresh = []
+    for name in sorted({r[0] for r in rows.select(q(TYPE)).distinct().collect()} - set(kinds)):
+        mine = rows.where(q(TYPE) == name)
+        found = infer_types(mine.select(*map(q, columns)))
+        filled = mine.agg(*[F.max(q(c) != "").alias(f"f{k}") for k, c in enumerate(columns)]).first() if columns else []
+        fields = tuple(Field(c, TypeExpr(found[c])) for c, some in zip(columns, filled, strict=True) if some)
+        if not edges:
+            fresh.append(NodeType(name, fields))
+            continue
+        latest = keys_of(graph, "id").groupBy("key").agg(F.max(ID).alias("node"))
+        labels = graph.node_frame(columns=[]).select(q(ID).alias("node"), q(LABEL).alias("label"))
+        ends = []
+        for side in (FROM, TO):
+            at = mine.select(q(side).alias("key")).join(latest, "key").join(labels, "node").select("label").distinct().limit(2).collect()
+            if len(at) != 1:
+                raise ValidationError(f"'{name}' has no one node type at its {side}")
+            ends.append(TypeExpr(at[0][0], user=True))
+        fresh.append(EdgeType(name, *ends, fields))
+    if fresh:
+        added = {f.name: f for f in fresh}
+        schema = Schema(graph.schema.nodes, {**kinds, **added}) if edges else Schema({**kinds, **added}, graph.schema.edges)
+        mutations.apply_schema(graph, schema.check())
+
+
+def import_csv(graph: PropertyGraph, path: str, id_prop: str = "id", declare: bool = False, plain: bool = False) -> dict:
     """{"nodes", "edges"}: counts of rows added."""
-    frame = read_csv(graph, path)
+    frame = read_csv(graph, path, plain)
     edges = FROM in frame.columns and TO in frame.columns
     columns = [c for c in frame.columns if c not in (TYPE, FROM, TO)]
-    props = {c: q(c) for c in columns}
-    rows = settled(frame.select(q(TYPE), *([q(FROM), q(TO)] if edges else []), *[c.alias(n) for n, c in props.items()]))
+    rows = settled(frame.select(q(TYPE), *([q(FROM), q(TO)] if edges else []), *map(q, columns)))
+    if declare:
+        declare_types(graph, rows, columns, edges)
     if edges:
         return {"nodes": 0, "edges": add_edges(graph, rows, columns, cell, id_prop)}
-    count = add_nodes(graph, rows, columns, cell)
-    return {"nodes": count, "edges": 0}
+    return {"nodes": add_nodes(graph, rows, columns, cell), "edges": 0}
+
+
+ITEM = "type string, props map<string,string>, id string, `from` string, `to` string"
+
+
+def read_items(graph: PropertyGraph, path: str) -> DataFrame:
+    """One row an item of JSON files: (item, good)."""
+    # a line's item, without the array's brackets and the comma after it
+    line = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\[\s*(?=\{|$)", ""), r"(?:(?<=\})\s*,?|^)\s*\]?,?$", "")
+    lines = graph.spark.read.text(path).select(F.trim("value").alias("value"), line.alias("line"))
+    whole = F.try_parse_json("line").isNotNull() & F.col("line").startswith("{")
+    broken = lines.where((F.col("line") != "") & ~whole).first()
+    if broken is None:
+        return lines.where("line <> ''").select(F.from_json("line", ITEM).alias("item"))
+    text = graph.spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", r"^\s+", "")).alias("value"))
+    if text.where(~F.col("value").startswith("[") | F.try_parse_json("value").isNull()).first() is not None:
+        raise InvalidCommand(f"{path}: neither a JSON array nor JSON lines")
+    return text.select(F.explode(F.from_json("value", f"array<struct<{ITEM}>>")).alias("item"))
 
 
 def import_json(graph: PropertyGraph, path: str, id_prop: str = "id") -> dict:
-    """The same for a JSON array (one document; each item's properties are typed by the schema)."""
-    text = graph.spark.read.text(path, wholetext=True)
-    shape = F.from_json(F.col("value"), "array<struct<type string, props map<string,string>, `from` string, `to` string>>")
-    raw = text.select(F.trim("value").startswith("[").alias("array"), F.posexplode_outer(shape).alias("pos", "item"))
-    if raw.where("not array").first() is not None:
-        raise InvalidCommand(f"{path}: not a JSON array")
-    rows = settled(
-        raw.where("item is not null").select(
-            "pos", F.col("item.type").alias(TYPE), F.col("item.from").alias(FROM), F.col("item.to").alias(TO), F.col("item.props").alias("props")
-        )
-    )
+    """The same for JSON; each item's properties are typed by the schema."""
+    item = read_items(graph, path)
+    rows = settled(item.select(F.col("item.type").alias(TYPE), F.col("item.id").alias(OWN), F.col("item.from").alias(FROM), F.col("item.to").alias(TO), F.col("item.props").alias("props")))
     if rows.where(q(TYPE).isNull()).first() is not None:
         raise InvalidCommand(f"{path}: an item has no type")
     keys = [r[0] for r in rows.select(F.explode(F.map_keys("props"))).distinct().collect()]  # property names
-    flat = rows.select(q(TYPE), q(FROM), q(TO), *[F.col("props")[k].alias(k) for k in keys])
+    flat = rows.select(q(TYPE), q(OWN), q(FROM), q(TO), *[F.col("props")[k].alias(k) for k in keys])
     is_edge = q(FROM).isNotNull() & q(TO).isNotNull()
-    count = add_nodes(graph, flat.where(~is_edge).drop(FROM, TO), keys, json_value)
-    return {"nodes": count, "edges": add_edges(graph, flat.where(is_edge), keys, json_value, id_prop)}
+    named: list[DataFrame] = []
+    count = add_nodes(graph, flat.where(~is_edge).drop(FROM, TO), keys, json_value, named)
+    # nodes without an id property go by the item's own id
+    own = named[0].where(q(OWN).isNotNull()).select(q(OWN).alias("key"), q(ID))
+    if id_prop in keys:
+        own = named[0].where(q(OWN).isNotNull() & q(id_prop).isNull()).select(q(OWN).alias("key"), q(ID))
+    return {"nodes": count, "edges": add_edges(graph, flat.where(is_edge).drop(OWN), keys, json_value, id_prop, own)}
 
 
 def json_value(c: Column, f: Field) -> Column:
@@ -147,13 +194,16 @@ def numbered(graph: PropertyGraph, rows: DataFrame) -> DataFrame:
     return out
 
 
-def add_nodes(graph: PropertyGraph, rows: DataFrame, columns: list[str], read) -> int:
+def add_nodes(graph: PropertyGraph, rows: DataFrame, columns: list[str], read, named: list[DataFrame] | None = None) -> int:
+    """Appends the rows; ``named`` takes them with their ids."""
     tables = tables_of(graph, rows, False)
     plans = {t: typed(graph, rows, t, columns, read, False) for t in tables}
     rows = numbered(graph, rows)
     for t in tables:
         frame = rows.where(q(TYPE) == t).select(q(ID), q(TYPE).alias(LABEL), F.array(q(TYPE)).alias(LABELS), *plans[t])
         mutations.append_frame(graph, t, frame)
+    if named is not None:
+        named.append(rows)
     return rows.count()
 
 
@@ -166,11 +216,12 @@ def keys_of(graph: PropertyGraph, id_prop: str) -> DataFrame:
     return out
 
 
-def add_edges(graph: PropertyGraph, rows: DataFrame, columns: list[str], read, id_prop: str) -> int:
+def add_edges(graph: PropertyGraph, rows: DataFrame, columns: list[str], read, id_prop: str, own: DataFrame | None = None) -> int:
     tables = tables_of(graph, rows, True)
     plans = {t: typed(graph, rows, t, columns, read, True) for t in tables}
     # new nodes have the highest ids, so the latest of a key is the one with the highest
-    latest = keys_of(graph, id_prop).groupBy("key").agg(F.max(ID).alias("node"))
+    keys = keys_of(graph, id_prop)
+    latest = (keys if own is None else keys.unionAll(own)).groupBy("key").agg(F.max(ID).alias("node"))
     for name, side in ((FROM, SRC), (TO, DST)):
         ends = latest.select(q("key").alias(f"{side}_key"), q("node").alias(side))
         rows = rows.join(ends, q(name) == q(f"{side}_key"), "left").drop(f"{side}_key")
@@ -246,8 +297,8 @@ def json_frame(graph: PropertyGraph, table: str | None = None) -> DataFrame:
 
 
 def export_json(graph: PropertyGraph, path: str, table: str | None = None) -> None:
-    """One item a line, in part files; ``json_array`` gives the array of a small graph."""
-    json_frame(graph, table).orderBy("pos").select("value").write.text(path)
+    """One item a line, in part files, which ``import_json`` reads; ``json_array`` gives the array of a small graph."""
+    json_frame(graph, table).select("value").write.text(path)
 
 
 def json_array(graph: PropertyGraph, table: str | None = None) -> str:

@@ -3,8 +3,9 @@ import datetime
 import pytest
 
 from tessera.api import Connection
-from tessera.errors import EdgeNotFound, GraphError, InvalidCommand, NodeNotFound, SchemaError, TypeMismatch, UniqueViolation, ValidationError
+from tessera.errors import Conflict, EdgeNotFound, GraphError, InvalidCommand, NodeNotFound, SchemaError, TypeMismatch, UniqueViolation, ValidationError
 from tessera.operators import mutations, paths
+from tessera.sources import store
 
 SCHEMA = """
 node User { id: String email: String @unique age: Int born: DateTime more: Json raw: Blob tags: List<Int> }
@@ -142,6 +143,65 @@ def test_stored(tmp_path, spark):
         Connection.open(spark, f"file://{tmp_path}/nothing")
 
 
+def test_two_writers(tmp_path, spark):
+    """The second of two commits over one version is refused, and the first one's rows stay."""
+    at = f"file://{tmp_path}/shared"
+    with Connection.create(spark, at) as c:
+        c.apply_schema(SCHEMA)
+    one, two = Connection.open(spark, at), Connection.open(spark, at)
+    one.insert_node("Project", {"id": "first"})
+    with pytest.raises(Conflict):
+        two.insert_node("Project", {"id": "second"})
+    assert two.count_nodes() == 0  # as it was read
+    two = Connection.open(spark, at)
+    two.insert_node("Project", {"id": "second"})
+    assert sorted(r["id"] for r in Connection.open(spark, at).list_nodes("Project").collect()) == ["first", "second"]
+    with pytest.raises(Conflict):
+        one.vacuum()
+
+
+def test_commits_write_what_changed(tmp_path, spark):
+    at = f"file://{tmp_path}/parts"
+    with Connection.create(spark, at) as c:
+        c.apply_schema(SCHEMA)
+        parts = lambda: {k: list(t["parts"]) for k, t in store.manifest(spark, at)["tables"].items()}
+        before = parts()
+        u = c.insert_node("User", {"email": "a", "age": 1})
+        after = parts()
+        assert after["node:User"][:-1] == before["node:User"] and len(after["node:User"]) == len(before["node:User"]) + 1
+        assert all(after[k] == before[k] for k in before if k != "node:User")
+        with c.transaction() as t:
+            c.insert_nodes("User", [{"email": "b"}, {"email": "c"}])
+            c.insert_node("User", {"email": "d"})
+            t.commit()
+        assert len(parts()["node:User"]) == len(after["node:User"]) + 1  # one more part for both
+        p = c.insert_node("Project", {})
+        c.insert_edge("OWNS", u, p, {"role": "x"})
+        before = parts()
+        c.patch_node_properties(u, {"age": 2})  # another change: that table is written anew, alone
+        after = parts()
+        assert len(after["node:User"]) == 1 and all(after[k] == before[k] for k in before if k != "node:User")
+        c.delete_node(p)
+        assert parts()["edge:MANAGES"] != after["edge:MANAGES"] and parts()["node:User"] == after["node:User"]
+        assert c.count_nodes("User") == 4 and c.count_edges() == 0
+        for k in range(3):
+            c.insert_node("User", {"email": f"x{k}"})
+        c.vacuum()
+        assert all(len(x) == 1 for x in parts().values()) and c.count_nodes("User") == 7
+        assert c.vacuum() == []
+
+
+def test_ids_have_room(spark):
+    from tessera.sources.tables import LINE_BITS, pair_key
+
+    rows = spark.createDataFrame([(5, 4095), (2**36 - 1, 0)], "a long, b long")
+    assert [r[0] for r in rows.select(pair_key(rows["a"], rows["b"], LINE_BITS)).collect()] == [5 * 4096 + 4095, (2**36 - 1) * 4096]
+    for bad in ((1, 4096), (2**36, 0), (-1, 0)):
+        frame = spark.createDataFrame([bad], "a long, b long")
+        with pytest.raises(Exception, match="no room"):
+            frame.select(pair_key(frame["a"], frame["b"], LINE_BITS)).collect()
+
+
 def test_evolution(c):
     a = c.insert_node("User", {"id": "7", "age": 5, "email": "e"})
     b = c.insert_node("User", {"id": "x"})
@@ -215,6 +275,7 @@ def test_paths(spark):
     with pytest.raises(InvalidCommand):
         c.shortest_path(n[0], n[1], 3, "both", ["G"])
     assert c.connecting_subgraph([n[0], n[1], n[2]], edge_labels=["E"]) == {"nodes": n[:3], "edges": sorted(e[:2])}
+    assert c.connecting_subgraph([n[4], n[5], n[2]], edge_labels=["E"]) == {"nodes": sorted([*n[:6]]), "edges": sorted(e)}
     assert c.connecting_subgraph([n[1], n[7]]) == {"nodes": [n[1], n[7]], "edges": []}
     assert {r["node_id"] for r in paths.neighbors(c.graph, n[3], "incoming").collect()} == {n[2], n[0]}
 
