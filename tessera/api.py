@@ -187,11 +187,10 @@ class Connection:
 
     def count_nodes(self, type_name: str | None = None) -> int:
         """0 for an unknown type."""
-        tables = self.graph.nodes
-        return sum(f.count() for t, f in tables.items() if type_name in (None, t))
+        return self.graph.node_frame([t for t in self.graph.nodes if type_name in (None, t)], []).count()
 
     def count_edges(self, type_name: str | None = None) -> int:
-        return sum(f.count() for t, f in self.graph.edges.items() if type_name in (None, t))
+        return self.graph.edge_frame([t for t in self.graph.edges if type_name in (None, t)], []).count()
 
     def find_all_nodes(self, type_name: str, path: Any, value: Any) -> DataFrame:
         """Nodes of a type with a property's value."""

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera.catalog import DST, EDGE_COLUMNS, ID, LABEL, LABELS, NODE_COLUMNS, SRC, EdgeType, Field, NodeType, Schema, TypeExpr, struct_of
 from tessera.errors import EdgeNotFound, InvalidCommand, NodeNotFound, SchemaError, TypeMismatch, UniqueViolation, ValidationError
 from tessera.functions.conversions import convert, convertible
-from tessera.graph import PropertyGraph, q
+from tessera.graph import PropertyGraph, q, stacked
 from tessera.local import local_rows
 
 REPORTED = 100
@@ -95,12 +95,12 @@ def checked(where: str, properties: dict[str, Any], fields: dict[str, Field]) ->
 
 
 def with_row(graph: PropertyGraph, tables: dict[str, DataFrame], id_: int) -> tuple[str, dict] | None:
-    """The type and the row of an id."""
-    for table, frame in tables.items():
-        row = frame.where(q(ID) == id_).first()
-        if row is not None:
-            return table, row.asDict()
-    return None
+    """The type and the row of an id: one job finds the type, one reads the row."""
+    if not tables:
+        return None
+    own = EDGE_COLUMNS if tables is graph.edges else NODE_COLUMNS
+    found = stacked([f.where(q(ID) == id_) for f in tables.values()], own, []).select(LABEL).first()
+    return None if found is None else (found[0], tables[found[0]].where(q(ID) == id_).first().asDict())
 
 
 def node_row(graph: PropertyGraph, id_: int) -> tuple[str, dict]:

@@ -42,4 +42,4 @@ def test_query(spark, duck, name):
 
 
 def test_all_have_sql():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"collect_path"}
+    assert set(queries.queries()) == set(queries.oracle_sql())

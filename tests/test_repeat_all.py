@@ -5,7 +5,7 @@ import pytest
 from tessera import queries
 
 
-@pytest.mark.parametrize("name, depth", [("repeat_next_all", 3), ("repeat_deep_all", 8)])
+@pytest.mark.parametrize("name, depth", [("repeat_next", 3), ("repeat_deep", 8)])
 def test_all_conversations(spark, name, depth):
     folder = "/root/testdata/sf0.01"
     turns = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn").collect()}
