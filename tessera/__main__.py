@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     command("info")
     command("vacuum")
     command("verify")
-    command("import", format={"required": True, "choices": ["csv", "json"]}, id_prop={"default": "id"}).add_argument("file")
+    command("import", format={"required": True, "choices": ["csv", "json"]}, id_prop={"default": "id"}, declare={"action": "store_true"}, plain={"action": "store_true"}).add_argument("file")
     command("export", format={"required": True, "choices": ["csv", "json"]}, type={}, out=need)
     return top
 
@@ -81,7 +81,7 @@ def run(spark, args: argparse.Namespace) -> object:
             path = args.file
             if path == "-":
                 path = stored_input(spark, args.format)
-            return (c.import_csv if args.format == "csv" else c.import_json)(path, args.id_prop)
+            return c.import_csv(path, args.id_prop, args.declare, args.plain) if args.format == "csv" else c.import_json(path, args.id_prop)
         if args.command == "export":
             if args.format == "csv" and not args.type:
                 raise GraphError("CSV holds one type: give --type")

@@ -516,7 +516,7 @@ def insert_rows(g: PropertyGraph) -> DataFrame:
 def replace_properties(g: PropertyGraph) -> DataFrame:
     c = Connection(g)
     c.update_node_properties(c.find_node("Region", "r_regionkey", 2), {"r_name": "NEW"})
-    return c.list_nodes("Region").select("r_regionkey", "r_name")
+    return c.list_nodes("Region").select(q("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
 
 
 @query("delete_edges", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
