@@ -17,7 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group of near copies (similarity of 0.8 or more over five-word shingles, verified)."""
+    """One document, the least id, of each group of near copies.
+
+    SimHash with vantage-point trees, and bands of minima for pairs beyond its 3 bits; verified at a similarity
+    of 0.8 or more over five-word shingles.
+    """
     return similar.keep_one(docs)
 
 

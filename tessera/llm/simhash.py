@@ -40,7 +40,11 @@ SEED = 42
 
 def fingerprint(text: str, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of the shingles, repeats counted; 0 without words."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return of_words(text.encode("utf-8", "surrogatepass").lower().split(), words)
+
+
+def of_words(w: list[bytes], words: int = 3) -> int:
+    """The fingerprint of a text that is split already."""
     if not w:
         return 0
     h = xxhash.xxh64_intdigest
@@ -262,17 +266,22 @@ def firsts(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return materialize(nodes.join(named, key, "left").select(key, "n", F.coalesce("of_root", "one").alias("first")), "firsts")
 
 
-def components(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, sample: int = TREE_SAMPLE) -> DataFrame:
-    """(fp, n, first) of each distinct fingerprint; fps has (doc_id, mark, fp). n rows have it; first is the first row reachable."""
-    nodes = materialize(fps.groupBy("fp").agg(first_row().alias("one"), F.count("*").alias("n")), "nodes")
-    count = nodes.count()
-    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+def tree_edges(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, sample: int = TREE_SAMPLE) -> DataFrame:
+    """(a, b) of the settled table ``fps`` of distinct fingerprints: spanning stars of what the trees' shards link within ``radius`` bits."""
+    count = fps.count()
+    rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     some = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, count) / shard_rows))))
     rng = np.random.default_rng(SEED)
     blocks = radius + 1
     trees = [grow(some, mask, radius // blocks, radius, depth, rng) for mask in masks(blocks)] if depth else [None]
-    return firsts(nodes, contract(shard_edges(routed(nodes.select("fp"), trees), radius)), "fp")
+    return shard_edges(routed(fps, trees), radius)
+
+
+def components(fps: DataFrame, radius: int = 3, **tree) -> DataFrame:
+    """(fp, n, first) of each distinct fingerprint; fps has (doc_id, mark, fp). n rows have it; first is the first row reachable."""
+    nodes = materialize(fps.groupBy("fp").agg(first_row().alias("one"), F.count("*").alias("n")), "nodes")
+    return firsts(nodes, contract(tree_edges(nodes.select("fp"), radius, **tree)), "fp")
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, **tree) -> DataFrame:

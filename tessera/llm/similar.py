@@ -1,10 +1,14 @@
-"""Groups of texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, verified on the texts.
-
-Candidates.  A shingle set has ``BANDS`` bands of ``ROWS`` minima under seeded hash
-functions; texts that share a band are candidates.  Whatever the edit (words, a block
-cut, appended or replaced), a pair of similarity s shares none with probability
-(1 - s**5)**24: 7e-5 at 0.8, 8e-7 at 0.85.  A band sends each of its texts to the least
-key only, and contraction gives the candidate groups.
+"""Near copies by SimHash and vantage-point trees, verified on their five-word shingle sets, and what fingerprints can't reach.
+
+Candidates.  Texts whose 64-bit SimHashes (op7's, over three-word shingles) are within
+3 bits, found by op7's vantage-point trees without loss.  Most pairs of similarity 0.8
+lie farther apart, where a tree prunes nothing; for those a shingle set also has
+``BANDS`` bands of ``ROWS`` minima under seeded hash functions, and texts that share a
+band are candidates too.  Whatever the edit (words, a block cut, appended or replaced),
+a pair of similarity s shares none with probability (1 - s**5)**24: 7e-5 at 0.8, 8e-7
+at 0.85; it is lost only if its fingerprints are apart as well.  A fingerprint and a
+band send each of their texts to the least key only, and contraction gives the
+candidate groups.
 
 Verification.  A candidate group may be too wide and links nothing by itself.  The
 shingle sets of its members meet in a task, each distinct word sequence once, and a
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, first_row, identified, map_texts, materialize, sized_join, spread_join, without_copies
-from tessera.llm.simhash import SEED, contract, firsts
+from tessera.llm.simhash import SEED, contract, firsts, of_words, tree_edges
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -100,16 +104,24 @@ def components(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(doc_id, mark, key, bands) of each row of (doc_id, text, mark)."""
+    """(doc_id, mark, key, fp, bands) of each row of (doc_id, text, mark); fp is the fingerprint as a signed long."""
 
     def make():
         def work(batch):
             split = [words(t) for t in batch]
-            return [(sequence(w), bands(shingles(w))) for w in split]
+            return [(sequence(w), int(np.uint64(of_words(w)).astype(np.int64)), bands(shingles(w))) for w in split]
 
         return work
 
-    return map_texts(texts, make, "key long, bands array<long>")
+    return map_texts(texts, make, "key long, fp long, bands array<long>")
+
+
+def fingerprint_edges(nodes: DataFrame, **tree) -> DataFrame:
+    """(a, b): keys of ``nodes`` (key, fp) that equal fingerprints or the vantage-point trees link."""
+    hubs = materialize(nodes.groupBy("fp").agg(F.min("key").alias("hub")), "fingerprints")
+    same = nodes.join(hubs, "fp").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = tree_edges(hubs.select("fp"), **tree).join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(near)
 
 
 def shingle_sets(members: DataFrame) -> DataFrame:
@@ -147,17 +159,17 @@ def verified(members: DataFrame) -> DataFrame:
     return dealt.select("root", pair.alias("pair"), "key", "shingles").groupBy("root", "pair").applyInArrow(run, "a long, b long")
 
 
-def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, **tree) -> DataFrame:
     """(doc_id, mark, first) of each row; first is the first row (no_id, doc_id, mark) of its group."""
     texts = identified(docs, id_col, text_col)
     rows = materialize(signatures(texts), "signatures")
     ids = rows.select("doc_id", "mark", "key")
-    nodes = materialize(ids.groupBy("key").agg(first_row().alias("one"), F.count("*").alias("n")), "nodes")
+    nodes = materialize(rows.groupBy("key").agg(first_row().alias("one"), F.count("*").alias("n"), F.first("fp").alias("fp")), "nodes")
     # one row stands for all with its word sequence
     shared = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
     hubs = shared.groupBy("band").agg(F.min("key").alias("hub"))
     edges = shared.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    roots = contract(edges)
+    roots = contract(edges.unionByName(fingerprint_edges(nodes.select("key", "fp"), **tree)))
     n = F.count("*")
     size = F.greatest(F.lit(max(1, block_rows // 16)), F.least(F.lit(block_rows), 8 * F.sqrt(n)))
     sizes = roots.groupBy("root").agg(F.ceil(n / size).cast("int").alias("blocks"))

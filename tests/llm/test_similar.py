@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm import simhash, similar
+from tessera.llm import pipeline_stages, simhash, similar
 
 
 def five(text):
@@ -99,3 +99,32 @@ def test_a_shared_id_loses_no_text(spark, keep):
     assert sorted(map(tuple, keep(rows).collect())) == [(3, a), (7, b)]
     none = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
     assert sorted(map(tuple, keep(none).collect())) == [(None, a), (None, b)]
+
+
+def test_fingerprints_find_near_copies(spark):
+    """The pipeline's stage links what SimHash finds: these near copies have one fingerprint, and share no band of minima."""
+    cycle = ["w49879", "w55488", "w76948", "w79838", "w25018", "w42631", "w87339", "w59382", "w24292"] * 12
+    a, b = " ".join(["a4689", *cycle]), " ".join([*cycle, "b4689"])
+    assert 0.8 <= similarity(five(a), five(b)) < 0.85 and simhash.fingerprint(a) == simhash.fingerprint(b)
+    assert not set(similar.bands(similar.shingles(similar.words(a)))) & set(similar.bands(similar.shingles(similar.words(b))))
+    rows = [(1, a), (2, b), (3, "some other words that nobody else has here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pipeline_stages.keep_one_of_each_group(spark, frame, "").collect()
+    assert sorted(r["doc_id"] for r in found) == kept_by_brute_force(rows) == [1, 3]
+
+
+def test_trees_join_candidates(spark, small):
+    """Fingerprints within 3 bits are candidates whatever the shards; what is linked keeps to similarity 0.8."""
+    rows = []
+    for k, t in enumerate(base(small)[:40]):
+        w = t.split()
+        rows += [(2 * k, t), (2 * k + 1, " ".join([*w[:9], "changed", *w[10:]]))]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    near = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert any(fps[i] != fps[j] for i, j in near)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "key long, fp long")
+    for how in ({}, {"shard_rows": 4, "sample": 32}):
+        roots = {r["node"]: r["root"] for r in simhash.contract(similar.fingerprint_edges(nodes, **how)).collect()}
+        assert all(i in roots and roots[i] == roots.get(j) for i, j in near)
+        assert kept(spark, rows, **how) == kept_by_brute_force(rows)
